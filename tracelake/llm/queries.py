@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, langid, packing, quality, secrets
+from tracelake.llm import ann, chat, decontaminate, html_text, langid, licences, packing, quality, secrets
 from tracelake.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,12 +61,36 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda vec_id: vec_id % 100 == 0)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_tools(table(spark, sf_dir, "conversations"))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
+    "op7_nearest": op7_nearest,
+    "op8_chat": op8_chat,
+    "op9_licences": op9_licences,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_chat": chat.PLAIN_SQL,
+    "op9_licences": licences.scan_sql(),
+}

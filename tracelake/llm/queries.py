@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import ann, chat, decontaminate, html_text, langid, licences, packing, quality, secrets
+from tracelake.llm import ann, chat, decontaminate, html_text, jaccard, langid, licences, packing, quality, secrets
 from tracelake.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +78,10 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op7_nearest": op7_nearest,
     "op8_chat": op8_chat,
     "op9_licences": op9_licences,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -29,7 +29,7 @@ WINDOW = 10
 SHARD_WORDS = 500_000
 #: Spans are removed if they are at least this long or the document's share of hit words is over
 #: the second figure; a document over the third one goes as a whole.
-SPAN_WORDS = 10
+SPAN_WORDS = 5
 COVERAGE = 0.05
 DROP_COVERAGE = 0.8
 

@@ -200,8 +200,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     """One row a row of ``df``: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Null and wordless texts have 0 n-grams and link with nothing (component_id is their own id).
-    Copies, and repeated rows, link.  Rows with null ids have their component's id, null if no
-    row of it has one.  Very long texts are read whole.  An empty table gives an empty result.
+    Copies, and repeated rows, link.  Rows with null ids link with nothing and have a null
+    component.  Very long texts are read whole.  An empty table gives an empty result.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
@@ -212,8 +212,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                 {
                     "doc_id": pdf["doc_id"].astype("Int64"),
                     "n_shingles": [len(s) for s in sets],
-                    "c": pd.array([_class_of(s) if len(s) else None for s in sets], dtype="Int64"),
-                    "bands": [bands(s, percent).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
+                    "c": pd.array([_class_of(s) if len(s) and not pd.isna(k) else None for k, s in zip(pdf["doc_id"], sets, strict=True)], dtype="Int64"),
+                    "bands": [bands(s, percent).view(np.int64) if len(s) and not pd.isna(k) else np.empty(0, np.int64) for k, s in zip(pdf["doc_id"], sets, strict=True)],
                 }
             )
 
@@ -272,3 +272,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     least_id = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = rooted.join(least_id, "root").select("c", "component_id")
     return rows.select("doc_id", "n_shingles", "c").join(of_class, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """``df`` with one document of each component, the one with the smallest id.
+
+    Rows of one id are one document; of a kept id the row with the smallest text hash stays.
+    Rows with null ids all stay.  Documents without words stay, as they link with nothing.
+    """
+    kept = near_duplicates(df, key, text, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    once = Window.partitionBy(key).orderBy(F.xxhash64(text), F.xxhash64(*df.columns))
+    rows = df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1").drop("_row")
+    return rows.select(*df.columns).unionByName(df.where(F.col(key).isNull()))

@@ -1,0 +1 @@
+"""Multi-channel time-series recordings on Spark: containers, codec, signal algebra, events."""

@@ -12,9 +12,12 @@ what later rounds can still join is the few emptiest of each group.)
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -30,65 +33,91 @@ FAN_IN = 8
 CARRY = 32
 #: A bin with at most this many free places counts as nearly full.
 TOLERANCE = 8
-#: Encoded words a worker holds before it starts anew.
-CACHE_WORDS = 400_000
+#: Encoded words a worker holds; beyond that the half met last, the rarer one, is forgotten.
+CACHE_WORDS = 1_200_000
 
 # Characters whose normal form, lower case and class are the same everywhere; texts with others
 # go through the tokenizer as a whole.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-±´-¸º»¿-įı-ňŊ-ž]*")
+_LETTERS = "a-zªµºß-öø-ÿĀ-ž"
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+#: The steps before byte-pair merges for which ``_PIECES`` stands.
+_KNOWN_STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen,
+    else the next letter from U+0100 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)}
 
 
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that treats stretches between white space on their own.
+    """Ids of whole texts.
 
-    Texts repeat their words, so each stretch is encoded once and then looked up.  Texts for which
+    Most tokenizers encode texts as they are.  If this one's steps are the known ones (lower case,
+    white space dropped, letters apart from digits and signs), stretches between white space are
+    encoded on their own, each once, and then looked up: texts repeat their words.  Texts for which
     that might differ from encoding the whole (unusual characters, special tokens) are encoded
-    whole, as are all texts of tokenizers for which ``by_word`` is false.
+    whole.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.by_word = Tokenizer.from_file(path), by_word
-        self.cache: dict[str, bytes] = {}
+        self.tok = Tokenizer.from_file(path)
+        steps = json.loads(Path(path).read_text())
+        self.by_word = (steps.get("normalizer"), steps.get("pre_tokenizer")) == _KNOWN_STEPS and self.tok.get_vocab_size() <= 1 << 16
         self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        rest = []
-        for k, x in enumerate(texts):
-            if self.by_word and _PLAIN.fullmatch(x) and not any(m in x for m in self.marks):
-                out[k] = self._words(x.lower().split())
-            else:
-                rest.append(k)
-        for k in rest:
-            out[k] = np.array(self.tok.encode(texts[k], add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return out
-
-    def _words(self, words: list[str]) -> bytes:
+        self.letters = _byte_letters()
+        self.model = self.tok.model
+        self.cache: dict[bytes, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.by_word and _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
+            words = text.lower().encode().split()
+            try:
+                ids = b"".join(map(self.cache.__getitem__, words))
+            except KeyError:
+                ids = self._with_new(words)
+            return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _with_new(self, words: list[bytes]) -> bytes:
         cache = self.cache
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(cache.__getitem__, words))
+        if len(cache) > CACHE_WORDS:
+            self.cache = cache = dict(islice(cache.items(), CACHE_WORDS // 2))
+        for w in words:
+            if w not in cache:
+                cache[w] = b"".join([cache.get(p) or self._piece(p) for p in (x.encode() for x in _PIECES.findall(w.decode()))])
+        return b"".join(map(cache.__getitem__, words))
+
+    def _piece(self, piece: bytes) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.letters))]
+        return np.array(ids, dtype="<u2").tobytes()
 
 
-_tokenizers: dict[tuple[str, bool], WordTokenizer] = {}
+_tokenizers: dict[str, WordTokenizer] = {}
 
 
-def tokenizer(path: str, by_word: bool) -> WordTokenizer:
-    if (path, by_word) not in _tokenizers:
-        _tokenizers[path, by_word] = WordTokenizer(path, by_word)
-    return _tokenizers[path, by_word]
+def tokenizer(path: str) -> WordTokenizer:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
-def pieces(df: DataFrame, path: str, by_word: bool, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, and uid, a number of its own.
 
     A document is its ids and then ``end_id``; null text is empty.  Documents longer than
@@ -96,23 +125,18 @@ def pieces(df: DataFrame, path: str, by_word: bool, capacity: int = CAPACITY, en
     """
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = tokenizer(path, by_word)
+        tok = tokenizer(path)
         uid = TaskContext.get().partitionId() << 40
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * capacity
         for pdf in batches:
             rows = []
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                for doc, ids in zip(part["doc_id"], tok.encode([x or "" for x in part["text"]]), strict=True):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), step)):
-                        own = ids[a : a + step]
-                        rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own), uid))
-                        uid += 1
+            for doc, x in zip(pdf["doc_id"], pdf["text"], strict=True):
+                ids = tok.encode(x or "") + end
+                for k, a in enumerate(range(0, len(ids), step)):
+                    own = ids[a : a + step]
+                    rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own), uid))
+                    uid += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "uid"]).astype({"doc_id": pdf["doc_id"].dtype})
 
     kind = dict(df.dtypes)[key]
@@ -156,7 +180,6 @@ def _carried(fills: np.ndarray, capacity: int, tolerance: int, carry: int) -> np
 def pack(
     df: DataFrame,
     path: str,
-    by_word: bool = True,
     capacity: int = CAPACITY,
     end_id: int = 0,
     key: str = "doc_id",
@@ -170,7 +193,7 @@ def pack(
     offset.  Repeated rows are documents of their own (even with equal ids); null ids stay null;
     an empty table gives an empty result.  The result is the same however often a task is rerun.
     """
-    cut_up = cut(pieces(df, path, by_word, capacity, end_id, key, text))
+    cut_up = cut(pieces(df, path, capacity, end_id, key, text))
     kind = dict(cut_up.dtypes)["doc_id"]
     whole = cut_up.where(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     partial = cut_up.where(F.col("length") < capacity)

@@ -39,7 +39,7 @@ def electrodes(spark: SparkSession) -> DataFrame:
 
 
 SCALE_SQL = "(values (0, 1 / 256), (1, 1 / 256), (2, 1 / 512), (3, 1 / 256), (4, 1 / 256)) e(sensor, scale)"
-RANGE = f"sample between {FIRST} and {FIRST + AMOUNT - 1}"
+RANGE = f"sample between {FIRST} and {FIRST + AMOUNT - 1} and (select max(sample) from dense) >= {FIRST + AMOUNT - 1}"
 
 
 # Ranges and shapes

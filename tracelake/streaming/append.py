@@ -36,21 +36,21 @@ class EpochStream:
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(f"{self.folder}/{name}") if there else self.spark.createDataFrame([], schema)
 
-    def epochs(self) -> DataFrame:
-        """Coded epochs so far, each once."""
-        return self._read("epochs", f"{EPOCHS}, batch bigint").drop("batch").dropDuplicates(["epoch"])
+    def epochs(self, without: int = -1) -> DataFrame:
+        """Coded epochs so far, each once; those of batch ``without`` don't count."""
+        return self._read("epochs", f"{EPOCHS}, batch bigint").where(F.col("batch") != without).drop("batch").dropDuplicates(["epoch"])
 
     def staged(self) -> DataFrame:
         return self._read("staged", STAGED)
 
-    def committed(self) -> int:
+    def committed(self, without: int = -1) -> int:
         """Epochs that are coded without a gap from the first on."""
-        told = self.epochs().agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last")).first()
+        told = self.epochs(without).agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last")).first()
         if not told["n"] or told["n"] == told["last"] + 1:
             return told["n"]
         from pyspark.sql import Window
 
-        gap = self.epochs().select("epoch", F.row_number().over(Window.orderBy("epoch")).alias("r")).where("epoch != r - 1")
+        gap = self.epochs(without).select("epoch", F.row_number().over(Window.orderBy("epoch")).alias("r")).where("epoch != r - 1")
         return gap.agg(F.min("r")).first()[0] - 1
 
     def _coded(self, samples: DataFrame) -> DataFrame:
@@ -60,7 +60,9 @@ class EpochStream:
     def append(self, batch: DataFrame, number: int) -> None:
         """Stage a batch and code the epochs it completes."""
         with_epochs(batch.select("sensor", "sample", "value"), self.epoch_length).write.mode("overwrite").partitionBy("epoch").parquet(f"{self.folder}/staged/batch={number}")
-        waiting = self.staged().where(F.col("epoch") >= self.committed()).join(F.broadcast(self.epochs().where(F.col("epoch") >= self.committed()).select("epoch")), "epoch", "left_anti")
+        first = self.committed(number)
+        done = self.epochs(number).where(F.col("epoch") >= first).select("epoch")
+        waiting = self.staged().where(F.col("epoch") >= first).join(done, "epoch", "left_anti")
         full = waiting.groupBy("epoch").agg(F.count_distinct("sensor", "sample").alias("n")).where(F.col("n") == self.sensors * self.epoch_length).select("epoch")
         self._coded(waiting.join(full, "epoch", "left_semi")).write.mode("overwrite").parquet(f"{self.folder}/epochs/batch={number}")
 

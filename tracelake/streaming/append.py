@@ -59,7 +59,8 @@ class EpochStream:
 
     def append(self, batch: DataFrame, number: int) -> None:
         """Stage a batch and code the epochs it completes."""
-        with_epochs(batch.select("sensor", "sample", "value"), self.epoch_length).write.mode("overwrite").partitionBy("epoch").parquet(f"{self.folder}/staged/batch={number}")
+        typed = batch.select(F.col("sensor").cast("int"), F.col("sample").cast("long"), F.col("value").cast("int"))
+        with_epochs(typed, self.epoch_length).write.mode("overwrite").partitionBy("epoch").parquet(f"{self.folder}/staged/batch={number}")
         first = self.committed(number)
         done = self.epochs(number).where(F.col("epoch") >= first).select("epoch")
         waiting = self.staged().where(F.col("epoch") >= first).join(done, "epoch", "left_anti")

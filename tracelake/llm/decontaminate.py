@@ -254,7 +254,8 @@ def remove_spans(df: DataFrame, text: str = "text", span_words: int = SPAN_WORDS
                 at = [m.span() for m in _WORD.finditer(x)]
                 parts, left = [], 0
                 for a, b in gone:
-                    parts.append(x[left : at[a][0]].rstrip())
+                    part = x[left : at[a][0]].rstrip()
+                    parts.append(part.lstrip() if left else part)
                     left = at[b - 1][1]
                 parts.append(x[left:].lstrip())
                 x = " ".join(p for p in parts if p)

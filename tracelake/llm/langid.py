@@ -55,9 +55,9 @@ def _codes(text: str) -> np.ndarray:
 def _counted(codes: np.ndarray, max_order: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram keys in order, and their counts.  A key holds one code point in 21 bits."""
     grams = [codes[codes != 0]]
-    key = codes
+    key = marked = np.maximum(codes, 1)  # a blank is 1 in keys, so that " a" is not "a"
     for n in range(2, max_order + 1):
-        key = (key[:-1] << _BITS) | codes[n - 1 :]
+        key = (key[:-1] << _BITS) | marked[n - 1 :]
         # blanks only at the ends: words don't run into each other
         ok = np.ones(len(key), dtype=bool)
         for k in range(1, n - 1):

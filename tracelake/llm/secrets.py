@@ -263,6 +263,9 @@ def redact(df: DataFrame, text: str = "text", secrets: str = "secrets", mark: st
     def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for x, own in zip(texts, spans, strict=True):
+            if not len(own):
+                out.append(x)
+                continue
             parts, left = [], 0
             for s in own:
                 if s["start"] >= left:

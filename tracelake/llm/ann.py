@@ -212,7 +212,7 @@ def nearest(
                     out["q"] += [q[i]] * len(best)
                     out["vec_id"] += [v for _, v in best]
                     out["score"] += [s for s, _ in best]
-        return pd.DataFrame(out)
+        return pd.DataFrame({"q": pd.Series(out["q"], dtype=object), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
 
     by = ["tree", "leaf", "slice"]
     found = stored.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(reranked, "q array<double>, vec_id long, score double").distinct()

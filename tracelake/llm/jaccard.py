@@ -34,14 +34,17 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import cut
 from tracelake.llm.components import components
 
-SHINGLE = 3
+SHINGLE = 5
 #: Two sets link if PERCENT of their union is common.
-PERCENT = 90
+PERCENT = 80
 #: Classes and n-grams of a tile.
 TILE_ROWS = 4096
 TILE_GRAMS = 4_000_000
-#: Columns multiplied at a time.
+#: Columns multiplied at a time; those of fewer rows are counted pair by pair.
 COLUMNS = 2048
+FEW_ROWS = 24
+#: Pairs counted at a time.
+PAIRS = 4_000_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -147,29 +150,51 @@ def _forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None, columns: int = COLUMNS) -> np.ndarray:
-    """Counts of common n-grams, of every two sets (of either list): a sparse product, a slice of
-    columns at a time, without columns that only one set has."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None, columns: int = COLUMNS, few_rows: int = FEW_ROWS) -> np.ndarray:
+    """Counts of common n-grams, of every two sets (of either list): a sparse product.
+
+    Columns that only one set has are left out.  Those of a few rows add one to each pair of their
+    rows; the others, of which there are few, are multiplied a slice of columns at a time.
+    """
     sets = left + (right or [])
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    column, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.cumsum(times > 1) - 1
-    kept = times[where] > 1
-    where, owner = place[where[kept]], owner[kept]
-    order = np.argsort(where, kind="stable")
-    where, owner = where[order], owner[order]
+    grams = np.concatenate(sets)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1]))) if len(grams) else np.empty(0, np.int64)
+    times = np.diff(np.append(first, len(grams)))
     a = len(left)
-    out = np.zeros((a, len(right) if right else a), dtype=np.float32)
-    for first in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
-        lo, hi = np.searchsorted(where, (first, first + columns))
-        part = np.zeros((len(sets), columns), dtype=np.float32)
-        part[owner[lo:hi], where[lo:hi] - first] = 1
-        out += part[:a] @ (part[a:] if right else part).T
-    return out.astype(np.int64)
+    b = len(right) if right else a
+    out = np.zeros(a * b, dtype=np.int32)
+    for n in range(2, few_rows + 1):
+        starts = first[times == n]
+        step = max(1, PAIRS // (n * n))
+        for at in range(0, len(starts), step):
+            rows = owner[starts[at : at + step, None] + np.arange(n)]
+            i, j = np.repeat(rows, n, axis=1).ravel(), np.tile(rows, n).ravel()
+            if right:
+                met = (i < a) & (j >= a)
+                i, j = i[met], j[met] - a
+            np.add.at(out, i * b + j, 1)
+    if right is None:
+        out[:: a + 1] = [len(s) for s in sets]
+    out = out.reshape(a, b)
+    many = np.flatnonzero(times > few_rows)
+    for at in range(0, len(many), columns):
+        own = many[at : at + columns]
+        place = np.repeat(np.arange(len(own)), times[own])
+        entry = np.repeat(first[own], times[own]) + np.arange(len(place)) - np.repeat(np.cumsum(times[own]) - times[own], times[own])
+        part = np.zeros((len(sets), len(own)), dtype=np.float32)
+        part[owner[entry], place] = 1
+        product = part[:a] @ (part[a:] if right else part).T
+        if right is None:
+            np.fill_diagonal(product, 0)
+        out += product.astype(np.int32)
+    return out
 
 
 def _linked(count: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * count >= percent * (left[:, None] + right[None] - count)
+    return (100 + percent) * count.astype(np.int64) >= percent * (left[:, None] + right[None])
 
 
 def block_links(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:

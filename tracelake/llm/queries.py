@@ -79,7 +79,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
 
 
 QUERIES: dict[str, Query] = {

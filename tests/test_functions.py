@@ -94,3 +94,38 @@ def test_info_and_header_text():
     said = container.parse_header_text(container.header_text(h))
     assert said["sampling_frequency"] == 255.9949866127 and said["sample_count"] == 7 and said["version"] == (4, 2) and said["history"] == "x\n"
     assert container.parse_birth("nothing") is None
+
+
+def test_ranges_by_recording(spark):
+    from tracelake.operators import signal
+
+    df = spark.createDataFrame([("a", 0, 0), ("a", 1, 5), ("b", 0, 0), ("b", 1, 3), ("b", 2, 3)], "recording string, epoch long, offset long")
+    got = signal.offsets_to_ranges(df, 9, 100, ("recording",)).orderBy("recording", "epoch").collect()
+    assert [(r["fpos"], r["size"], r["valid"]) for r in got] == [(100, 5, True), (105, 4, True), (100, 3, True), (103, 0, False), (103, 6, True)]
+    ranges = spark.createDataFrame([(0, 10, 5), (1, 15, 0), (2, 12, 3), (3, 20, 1)], "epoch long, fpos long, size long")
+    assert [r["valid"] for r in validate.increasing_ranges(ranges).orderBy("epoch").collect()] == [True, False, False, True]
+    lengths = spark.createDataFrame([("a", 0, 4), ("a", 1, 2), ("b", 0, 1)], "recording string, epoch long, length long")
+    assert [r["sample_count"] for r in signal.running_total(lengths, keys=("recording",)).orderBy("recording", "epoch").collect()] == [4, 6, 1]
+
+
+def test_shapes(spark):
+    from tracelake.errors import LimitError
+    from tracelake.operators import signal
+
+    rows = spark.createDataFrame([([[0, 1, 2], [3, 4, 5]],)], "m array<array<int>>")
+    want = {(0, 0, 0), (0, 1, 1), (0, 2, 2), (1, 0, 3), (1, 1, 4), (1, 2, 5)}
+    assert {(r["sensor"], r["sample"], r["value"]) for r in signal.rows_to_long(rows, "m").collect()} == want
+    flat = spark.createDataFrame([([0, 3, 1, 4, 2, 5],)], "x array<int>")
+    assert {(r["sensor"], r["sample"], r["value"]) for r in signal.flat_to_long(flat, "x", 2, "column").collect()} == want
+    flat = spark.createDataFrame([([0, 1, 2, 3, 4, 5],)], "x array<int>")
+    assert {(r["sensor"], r["sample"], r["value"]) for r in signal.flat_to_long(flat, "x", 2).collect()} == want
+    with pytest.raises(Exception, match="multiple of 4"):
+        signal.flat_to_long(flat, "x", 4).collect()
+    for bad in ([0, 0, 1], [1, 2], [-1, 0]):
+        with pytest.raises(LimitError):
+            signal.order_table(spark, bad)
+    long = signal.rows_to_long(rows, "m")
+    with pytest.raises(Exception, match="missing or repeated"):
+        signal.epoch_matrices(long.where("value != 4"), 3).collect()
+    assert signal.epoch_matrices(long, 2).orderBy("epoch").collect()[1]["rows"] == [[2], [5]]
+    assert signal.natural_order(spark, 3).count() == 3

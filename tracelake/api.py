@@ -160,7 +160,7 @@ class Recording:
     def column_major(self, first: int, amount: int) -> DataFrame:
         return self._by_column(self.samples(first, amount))
 
-    def range_v4(self, first: int, amount: int) -> DataFrame:
+    def column_major_float32(self, first: int, amount: int) -> DataFrame:
         """Column major, as 32-bit floats."""
         wide = self.column_major(first, amount)
         return wide.select("sample", *[F.col(c).cast("float").alias(c) for c in wide.columns if c != "sample"])
@@ -395,7 +395,7 @@ class RecordingWriter:
     def column_major(self, x) -> None:
         self._append(self._integers(self._shaped(x, "column").astype(float)))
 
-    def libeep_v4(self, x) -> None:
+    def column_major_float32(self, x) -> None:
         """Column major, 32-bit floats."""
         self.column_major(np.asarray(x, dtype=np.float32))
 
@@ -484,7 +484,7 @@ class LegacyReader:
 
     def get_samples(self, first: int, last: int) -> list[float]:
         """Column major, samples first .. last-1."""
-        rows = self.recording.range_v4(first, last - first).collect()
+        rows = self.recording.column_major_float32(first, last - first).collect()
         return [v for r in rows for v in r[1:]]
 
     def get_trigger_count(self) -> int:
@@ -501,7 +501,7 @@ class LegacyWriter:
         self.writer.param(TimeSeries(float(rate), [electrode(c[0], c[1] if len(c) > 1 else "", c[2] if len(c) > 2 else text.DEFAULT_UNIT) for c in channels]))
 
     def add_samples(self, values: list[float]) -> None:
-        self.writer.libeep_v4(values)
+        self.writer.column_major_float32(values)
 
     def close(self) -> None:
         self.writer.close()

@@ -67,12 +67,12 @@ def epoch_table(spark: SparkSession, total: int, length: int) -> DataFrame:
     return spark.range(0, -(-total // length)).select(F.col("id").alias("epoch"), first.alias("first_sample"), F.least(F.lit(length), F.lit(total) - first).cast("long").alias("length"))
 
 
-def offsets_to_ranges(offsets: DataFrame, size: int, first: int = 0) -> DataFrame:
+def offsets_to_ranges(offsets: DataFrame, size: int, first: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """(epoch, offset) to (epoch, fpos, size), the last one up to the end of the data; rows whose
-    size is not positive are data errors, and so marked in ``valid``."""
-    after = F.lead("offset", 1).over(Window.orderBy("epoch"))
+    size is not positive are data errors, and so marked in ``valid``.  ``keys`` tell recordings apart."""
+    after = F.lead("offset", 1).over(Window.partitionBy(*keys).orderBy("epoch"))
     span = F.coalesce(after, F.lit(size)) - F.col("offset")
-    return offsets.select("epoch", (F.col("offset") + first).alias("fpos"), span.alias("size"), (span > 0).alias("valid"))
+    return offsets.select(*keys, "epoch", (F.col("offset") + first).alias("fpos"), span.alias("size"), (span > 0).alias("valid"))
 
 
 def column_major(signal: DataFrame, sensors: int, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -171,7 +171,7 @@ def natural_order(spark: SparkSession, sensors: int) -> DataFrame:
     return spark.range(sensors).select(F.col("id").cast("int").alias("sensor"))
 
 
-def running_total(epochs: DataFrame, length: str = "length") -> DataFrame:
-    """Samples up to the end of each epoch (one row an epoch)."""
-    upto = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
+def running_total(epochs: DataFrame, length: str = "length", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Samples up to the end of each epoch (one row an epoch; ``keys`` tell recordings apart)."""
+    upto = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
     return epochs.withColumn("sample_count", F.sum(length).over(upto))

@@ -57,9 +57,9 @@ def valid_order(order: Column) -> Column:
     return F.coalesce(F.array_sort(order.cast("array<int>")) == F.when(F.size(order) > 0, F.sequence(F.lit(0), F.size(order) - 1)), F.lit(False))
 
 
-def increasing_ranges(ranges: DataFrame) -> DataFrame:
+def increasing_ranges(ranges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``ranges`` (epoch, fpos, size) with ``valid``: not empty, and after the one before."""
-    before = F.lag("fpos", 1, -1).over(Window.orderBy("epoch"))
+    before = F.lag("fpos", 1, -1).over(Window.partitionBy(*keys).orderBy("epoch"))
     return ranges.withColumn("valid", (F.col("size") > 0) & (F.col("fpos") > before))
 
 

@@ -200,3 +200,23 @@ def test_stream(spark, tmp_path):
     r = api.Recording(spark, f"{tmp_path}/s.cnt")
     got = r.signal().select("sensor", "sample", "value")
     assert r.sample_count == 500 and got.exceptAll(src).count() == 0 and src.exceptAll(got).count() == 0
+
+
+def test_event_journal(spark, tmp_path):
+    path = f"{tmp_path}/j.evt"
+    w = api.EventWriter(path)
+    w.impedances([{"stamp": datetime(2020, 1, 1), "values": [5.0]}])
+    w.videos([{"stamp": datetime(2020, 1, 2), "trigger_code": 4}])
+    w.epochs([{"stamp": datetime(2020, 1, 3), "duration": 2.0}])
+    r = api.Recording(spark, f"{tmp_path}/j.cnt", layout="parts")
+    assert (r.impedances().count(), r.videos().count(), r.epoch_events().count()) == (1, 1, 1)
+    assert archive.read_events(path).events == []
+    with open(archive.journal_path(path), "ab") as f:
+        f.write(archive.event_bytes(archive.epoch_event(0))[:-3])  # cut off
+    assert len(archive.read_journal(path).events) == 3
+    w.close()
+    assert len(archive.read_events(path).events) == 3 and archive.read_journal(path).events == []
+    with pytest.raises(BugError):
+        w.impedance(datetime(2020, 1, 1), [])
+    api.EventWriter(f"{tmp_path}/k.evt").close()
+    assert not (tmp_path / "k.evt").exists()

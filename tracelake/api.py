@@ -188,7 +188,7 @@ class Recording:
 
     # Events
     def events(self) -> DataFrame:
-        return self.spark.read.format("evt").load(archive.archive_path(self.path))
+        return self.spark.read.format("evt").option("layout", self.layout).load(archive.archive_path(self.path))
 
     def impedances(self) -> DataFrame:
         return event_ops.impedances(self.events())
@@ -256,16 +256,23 @@ def write_archive(events: list[dict], path: str, version: int = archive.DEFAULT_
 
 
 class EventWriter:
-    """Collects events for an archive; :meth:`close` writes it."""
+    """Collects events for an archive; :meth:`close` writes it.
+
+    Each event also goes to a journal beside the archive, which a crash leaves and a close removes.
+    """
 
     def __init__(self, path: str):
         self.path, self.events, self.closed = path, [], False
+        self.journal = archive.journal_path(plain_path(path))
 
     def _add(self, e: dict) -> None:
         if self.closed:
             raise BugError("writer is closed")
         if len(self.events) + 1 >= 1 << 32:
             raise LimitError("too many events")
+        raw = archive.event_bytes(e)
+        with open(self.journal, "ab" if self.events else "wb") as f:
+            f.write(raw if self.events else archive.JOURNAL_HEADER + raw)
         self.events.append(e)
 
     def impedance(self, stamp: datetime, values: list[float]) -> None:
@@ -293,6 +300,8 @@ class EventWriter:
         if not self.closed:
             self.closed = True
             write_archive(self.events, self.path)
+            if self.events:
+                os.remove(self.journal)
 
 
 class RecordingWriter:

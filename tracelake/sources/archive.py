@@ -8,6 +8,8 @@ as (type, is_array, list of strings).
 
 from __future__ import annotations
 
+import io
+import logging
 import struct
 from dataclasses import dataclass, field
 from typing import BinaryIO
@@ -18,6 +20,8 @@ from tracelake.errors import BugError, DataError, LimitError
 from tracelake.functions import dates
 from tracelake.sources.files import exists, open_file, sibling
 
+log = logging.getLogger(__name__)
+
 #: Variant tags and how numbers of a type are stored.
 EMPTY, NULL, BSTR, BOOL, VARIANT = 0x0, 0x1, 0x8, 0xB, 0xC
 ARRAY, BYREF = 0x2000, 0x4000
@@ -215,6 +219,45 @@ def read_events(path: str) -> Library:
         return read_archive(f)
 
 
+def journal_path(path: str) -> str:
+    """Where the events of an archive under construction are."""
+    return f"{path}_archive.bin"
+
+
+JOURNAL_HEADER = b"ctkp\x01\x0asevt"
+
+
+def event_bytes(e: dict, version: int = DEFAULT_VERSION) -> bytes:
+    w = Encoder(version)
+    w.event(e)
+    return bytes(w.out)
+
+
+def read_journal(path: str) -> Library:
+    """Events of an archive that was not finished; none if there is no journal.  An event that was
+    cut off by a crash is logged and left out."""
+    lib = Library()
+    if not exists(journal_path(path)):
+        return lib
+    with open_file(journal_path(path)) as f:
+        if f.read(len(JOURNAL_HEADER)) != JOURNAL_HEADER:
+            raise DataError(f"no event journal: {journal_path(path)}")
+        rest = f.read()
+    d = Decoder(io.BytesIO(rest))
+    while d.f.tell() < len(rest):
+        try:
+            name = d.class_name()
+            if name is not None:
+                if name not in KIND_OF:
+                    raise DataError(f"unknown event class {name!r}")
+                lib.events.append(d.event(KIND_OF[name]))
+        except DataError as e:
+            if d.f.tell() < len(rest):
+                raise
+            log.warning("journal %s ends in an event: %s", path, e)
+    return lib
+
+
 class Encoder:
     def __init__(self, version: int):
         self.out, self.version = bytearray(), version

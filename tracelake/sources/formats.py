@@ -155,7 +155,8 @@ def header_row(h: container.Header) -> tuple:
 
 
 class ArchiveSource(DataSource):
-    """Events of an archive, one row each; a file that is not there has none."""
+    """Events of an archive, one row each; a file that is not there has none.  ``layout=parts``
+    reads the journal of an archive that was not finished."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,9 +172,10 @@ class ArchiveSource(DataSource):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = plain_path(options["path"])
+        self.load = archive.read_journal if options.get("layout") == "parts" else archive.read_events
 
     def read(self, partition) -> Iterator[tuple]:
-        for k, e in enumerate(archive.read_events(self.path).events):
+        for k, e in enumerate(self.load(self.path).events):
             get = e.get
             yield (
                 k, archive.kind_of(e), e["class"], get("visible_id"), get("name"), get("user_visible_name"), get("type"), get("state"), get("original"), get("duration"), get("duration_offset"),

@@ -57,8 +57,10 @@ def signed_view(x: np.ndarray) -> np.ndarray:
 def bit_widths(x: np.ndarray) -> np.ndarray:
     """Bits of each word as a signed number, 2 at least."""
     s = signed_view(x)
-    magnitude = np.where(s < 0, ~s, s).astype(np.uint64)
-    return np.maximum(2, np.searchsorted(_POWERS, magnitude, side="right") + 1)
+    magnitude = s ^ (s >> (8 * s.dtype.itemsize - 1))
+    if s.dtype.itemsize < 8 or int(magnitude.max(initial=0)) < 1 << 53:
+        return np.maximum(2, np.frexp(magnitude.astype(np.float64))[1] + 1)  # exact below 2^53
+    return np.maximum(2, np.searchsorted(_POWERS, magnitude.astype(np.uint64), side="right") + 1)
 
 
 def difference(x: np.ndarray) -> np.ndarray:

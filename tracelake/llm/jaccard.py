@@ -6,10 +6,13 @@ formed as a whole: bounds that follow from the sizes say which blocks can hold a
 
 1. Equal rows (copies) are one row, a class.
 2. If two sets of at most s n-grams link, they differ in at most d(s) n-grams.  Split the n-gram
-   space into d(s) + 1 + spare ranges: the two sets agree wholly in some range that is not empty.
-   So each class gets one *band* a range, a hash of what it has there, for the size class it is
-   in and for the next one if a larger partner may be there.  Linked classes share a band; classes
-   that only share a common passage hardly ever do, as a band holds about nine n-grams.
+   space into d(s) + 1 + spare ranges: the two sets agree wholly in 1 + spare of them.  A *band* is
+   a hash of what a set has in a range.  Bands are put in one order, the telling ones last (those
+   with many n-grams that are not common in the corpus), and each set drops its first ``spare``:
+   of the bands that two linked sets agree in, the last one in that order is dropped by neither.
+   So linked classes share a band, and classes that only share a common passage hardly ever do.
+   Bands are made for the size class of the set, and for the next one if a larger partner may be
+   there.
 3. Components of "shares a band" (each class tied to the smallest of its band, no pairs) are the
    blocks.  Large ones are cut into tiles by size class and hash, and only tiles whose sizes may
    link meet.
@@ -40,6 +43,11 @@ PERCENT = 80
 #: Classes and n-grams of a tile.
 TILE_ROWS = 4096
 TILE_GRAMS = 4_000_000
+#: Common n-grams: those in HOT_SETS sets of a slice of HOT_SLICE n-grams of a task at least; the
+#: HOT_MOST most frequent of them are broadcast.  They only order the bands; any list is correct.
+HOT_SETS = 4
+HOT_SLICE = 4_000_000
+HOT_MOST = 50_000
 #: Columns multiplied at a time; those of fewer rows are counted pair by pair.
 COLUMNS = 2048
 FEW_ROWS = 24
@@ -102,7 +110,7 @@ def _ranges(k: int, percent: int) -> tuple[int, int]:
     are spare.  |A - B| + |B - A| <= (100 - percent) / (100 + percent) * (|A| + |B|)."""
     most = _size_classes(percent)[k + 1] - 1
     d = 2 * most * (100 - percent) // (100 + percent)
-    spare = 2 if d else 0
+    spare = 2 + d * 35 // 100 if d else 0
     return (d + 1 + spare if d else 0), spare
 
 
@@ -111,12 +119,19 @@ def _bounds(m: int) -> np.ndarray:
     return np.array([i * (1 << 64) // m for i in range(1, m)], dtype=np.uint64)
 
 
-def bands(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Bands of a set: two sets that link share one, unless they are equal."""
+def bands(grams: np.ndarray, percent: int = PERCENT, hot: np.ndarray | None = None) -> np.ndarray:
+    """Bands of a set: two sets that link share one, unless they are equal.  ``hot``: common
+    n-grams, sorted."""
     n, out = len(grams), []
     classes = _size_classes(percent)
     own = int(np.searchsorted(classes, n, side="right")) - 1
     total = np.concatenate(([_U(0)], np.cumsum(_mix(grams + _U(0x51ED270B)))))
+    rare = np.ones(n, dtype=np.int64)
+    if hot is not None and len(hot):
+        at = np.searchsorted(hot, grams)
+        at[at == len(hot)] = 0
+        rare[hot[at] == grams] = 0
+    told = np.concatenate(([0], np.cumsum(rare)))
     for k in (own, own + 1):
         if k > own and n * 100 < classes[k] * percent:
             continue
@@ -124,13 +139,39 @@ def bands(grams: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         if not m:
             continue
         edge = np.concatenate(([0], np.searchsorted(grams, _bounds(m)), [n]))
-        held = np.diff(edge)
         band = _mix(_mix(total[edge[1:]] - total[edge[:-1]] + _U(k)) + np.arange(m, dtype=np.uint64))
-        # With few empty ranges, one of those that agree is not empty
-        out.append(band if (held == 0).sum() > spare else band[held > 0])
+        order = np.lexsort((band, np.diff(edge), np.diff(told[edge])))
+        out.append(band[order[spare:]])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
+    """Common n-grams of a table (doc_id, text), sorted; a bounded number of them."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pd.DataFrame:
+            gram, times = np.unique(np.concatenate(held), return_counts=True)
+            some = times >= HOT_SETS
+            return pd.DataFrame({"gram": gram[some].view(np.int64), "times": times[some]})
+
+        for pdf in batches:
+            for x in pdf["text"]:
+                held.append(shingles(x, n))
+                size += len(held[-1])
+                if size >= HOT_SLICE:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    found = docs.select("text").mapInPandas(counted, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+    rows = found.orderBy(F.desc("times"), "gram").limit(HOT_MOST).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64))
+
+
 def _class_of(grams: np.ndarray) -> int:
     return int(_mix(np.add.reduce(_mix(grams + _U(0x2545F491)), keepdims=True) + _U(len(grams))).view(np.int64)[0])
 
@@ -229,6 +270,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     component.  Very long texts are read whole.  An empty table gives an empty result.
     """
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    hot = df.sparkSession.sparkContext.broadcast(hot_grams(docs, n))
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -238,7 +280,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                     "doc_id": pdf["doc_id"].astype("Int64"),
                     "n_shingles": [len(s) for s in sets],
                     "c": pd.array([_class_of(s) if len(s) and not pd.isna(k) else None for k, s in zip(pdf["doc_id"], sets, strict=True)], dtype="Int64"),
-                    "bands": [bands(s, percent).view(np.int64) if len(s) and not pd.isna(k) else np.empty(0, np.int64) for k, s in zip(pdf["doc_id"], sets, strict=True)],
+                    "bands": [bands(s, percent, hot.value).view(np.int64) if len(s) and not pd.isna(k) else np.empty(0, np.int64) for k, s in zip(pdf["doc_id"], sets, strict=True)],
                 }
             )
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut
+from tracelake.llm.common import cut, tidy
 from tracelake.llm.components import components
 
 SHINGLE = 5
@@ -166,6 +166,8 @@ def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             yield flush()
+            held = []
+        tidy()
 
     found = docs.select("text").mapInPandas(counted, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
     rows = found.orderBy(F.desc("times"), "gram").limit(HOT_MOST).select("gram").collect()
@@ -283,6 +285,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
                     "bands": [bands(s, percent, hot.value).view(np.int64) if len(s) and not pd.isna(k) else np.empty(0, np.int64) for k, s in zip(pdf["doc_id"], sets, strict=True)],
                 }
             )
+        tidy()
 
     rows = cut(docs.mapInPandas(signed, "doc_id long, n_shingles long, c long, bands array<long>"))
     with_set = rows.where("c is not null")
@@ -328,6 +331,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             sets = [shingles(x, n) for x in pdf["text"]]
             same = [len(s) > 0 and _class_of(s) == c for s, c in zip(sets, pdf["c"], strict=True)]
             yield pdf.assign(grams=[s.astype("<u8").tobytes() for s in sets])[same][["c", "comp", "tile", "blocks", "grams"]]
+        tidy()
 
     texts = docs.join(placed, docs["doc_id"] == placed["rep"])
     sets = texts.select("c", "comp", "tile", "blocks", "text").mapInPandas(gathered, "c long, comp long, tile string, blocks array<string>, grams binary")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut
+from tracelake.llm.common import cut, tidy
 
 CAPACITY = 2048
 GROUP_ITEMS = 16384
@@ -34,7 +34,9 @@ CARRY = 32
 #: A bin with at most this many free places counts as nearly full.
 TOLERANCE = 8
 #: Encoded words a worker holds; beyond that the half met last, the rarer one, is forgotten.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
+#: Words it keeps from one partition to the next.
+KEPT_WORDS = 150_000
 
 # Characters whose normal form, lower case and class are the same everywhere; texts with others
 # go through the tokenizer as a whole.
@@ -94,10 +96,15 @@ class WordTokenizer:
             return np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def forget(self, kept: int) -> None:
+        """Keep the words met first, which are the common ones."""
+        if len(self.cache) > kept:
+            self.cache = dict(islice(self.cache.items(), kept))
+
     def _with_new(self, words: list[bytes]) -> bytes:
+        if len(self.cache) > CACHE_WORDS:
+            self.forget(CACHE_WORDS // 2)
         cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            self.cache = cache = dict(islice(cache.items(), CACHE_WORDS // 2))
         for w in words:
             if w not in cache:
                 cache[w] = b"".join([cache.get(p) or self._piece(p) for p in (x.encode() for x in _PIECES.findall(w.decode()))])
@@ -138,6 +145,8 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
                     rows.append((doc, k, a // 4, len(own) // 4, zlib.crc32(own), uid))
                     uid += 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "uid"]).astype({"doc_id": pdf["doc_id"].dtype})
+        tok.forget(KEPT_WORDS)
+        tidy()
 
     kind = dict(df.dtypes)[key]
     own = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))

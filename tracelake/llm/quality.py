@@ -119,7 +119,7 @@ class Batch:
         own = self.structure[k]
         at.append(np.flatnonzero(own))
         by.append(own[own > 0] / max(1, own.sum()))
-        return np.concatenate(at).astype(np.int64), np.concatenate(by).astype(np.float32)
+        return np.concatenate(at).astype(np.int32), np.concatenate(by).astype(np.float32)
 
 
 def _slices(texts: list[str | None]) -> list[tuple[int, str]]:
@@ -161,7 +161,7 @@ class SubwordModel:
         rng = np.random.default_rng(seed)
         docs: list[tuple[np.ndarray, np.ndarray]] = []
         for x in texts:
-            rows = [Batch([part]).rows(0) for _, part in _slices([x])] or [(np.empty(0, np.int64), np.empty(0, np.float32))]
+            rows = [Batch([part]).rows(0) for _, part in _slices([x])] or [(np.empty(0, np.int32), np.empty(0, np.float32))]
             docs.append((np.concatenate([at for at, _ in rows]), np.concatenate([by for _, by in rows]) / len(rows)))
         vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
         squares = np.full(BUCKETS, 1e-6, np.float32)

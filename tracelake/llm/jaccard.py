@@ -169,8 +169,17 @@ def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
             held = []
         tidy()
 
-    found = docs.select("text").mapInPandas(counted, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
-    rows = found.orderBy(F.desc("times"), "gram").limit(HOT_MOST).select("gram").collect()
+    found = cut(docs.select("text").mapInPandas(counted, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")))
+    # The most frequent ones, by steps of an eighth of a power of two: what comes here is bounded
+    level = F.floor(F.log2("times") * 8).cast("int")
+    steps = sorted(((r["level"], r["count"]) for r in found.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least, most = None, 0
+    for step, count in steps:
+        most += count
+        if most > HOT_MOST:
+            break
+        least = step
+    rows = found.where(level >= least).select("gram").collect() if least is not None else []
     return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate, jaccard, packing, quality, secrets
-from tracelake.llm.common import cut, id_crc, table
+from tracelake.llm.common import cut, id_crc, small_batches, table
 from tracelake.llm.queries import tokenizer_path
 
 
@@ -30,6 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
+    small_batches(spark)
     return jaccard.deduplicate(docs)
 
 
@@ -41,12 +42,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
+    small_batches(spark)
     found = secrets.find_secrets(docs, secrets.fit_crf(docs))
     return _with_length(docs, secrets.redact(found), F.size("secrets") > 0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents, packed into sequences."""
+    small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), tokenizer_path())
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import ann, chat, decontaminate, html_text, jaccard, langid, licences, packing, quality, secrets
+from tracelake.llm import ann, chat, decontaminate, html_text, jaccard, known_licences, langid, licences, packing, quality, secrets
 from tracelake.llm.common import id_crc, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +75,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), known_licences.table(spark))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

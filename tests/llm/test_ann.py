@@ -59,3 +59,25 @@ def test_few_and_none(spark):
     got = by_query(ann.nearest(df, lambda v: v == 0).collect())
     assert got == {0: [(2, 1.0), (1, 2**0.5)]}
     assert ann.nearest(df.limit(0), lambda v: v == 0).count() == 0
+
+
+def test_every_query_is_filled(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.1"):
+        ids = [r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()]
+        got = by_query(QUERIES["op7_nearest"](spark, sf).collect())
+        assert {q: len(own) for q, own in got.items()} == {q: 10 for q in ids if q % 100 == 0}
+
+
+def test_nearest_of_the_reached(spark, monkeypatch):
+    """With few leaves reached the result is the ten nearest rows in them."""
+    kept = []
+    monkeypatch.setattr(ann.Forest, "calibrate", lambda self, k, recall: (kept.append(self), setattr(self, "share", 0.2)))
+    x = np.random.default_rng(4).normal(size=(900, 12))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = by_query(ann.nearest(df, lambda v: v % 50 == 0, leaf_target=64).collect())
+    own = kept[0].leaves(x)
+    for q in range(0, 900, 50):
+        reached = kept[0].reached(kept[0].project(x[q : q + 1])[0], 0.2 * len(x))
+        there = sorted({i for t, leaf in reached for i in np.flatnonzero(own[:, t] == leaf)} - {q})
+        d = np.sqrt(((x[there] - x[q]) ** 2).sum(axis=1))
+        assert len(there) >= 10 and [v for v, _ in got[q]] == [there[j] for j in np.lexsort((there, d))[:10]]

@@ -13,8 +13,9 @@ share, clustered data a small one.
 Distribution: rows and queries meet in a join by (tree, leaf); leaves with many rows are split
 into slices of ``LEAF_ROWS``, to each of which its queries are sent.  Equal vectors are one row
 with the smallest ids (only those can be among the nearest), so a vector that a third of the rows
-share makes no large leaf, and equal queries are searched once.  Each query carries a radius, the
-distance of its k-th nearest in the sample, beyond which leaves report nothing.
+share makes no large leaf, and equal queries are searched once.  Each query carries a radius beyond
+which leaves report nothing: the distance of the (k+1)-th nearest of those sample vectors that lie in
+the leaves it reaches.  They are rows there, so the nearest rows reached all lie within it.
 """
 
 from __future__ import annotations
@@ -91,6 +92,17 @@ class Forest:
             heapq.heappush(heap, (max(bound, gap), t, 2 * v + 1))
         return out
 
+    def sure(self) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves of the sample, and whether each is certain: vectors on a split may fall to either
+        side, as products of other batches round otherwise."""
+        flat, node = self.project(self.sample), np.zeros((len(self.sample), self.trees), np.int64)
+        tree, clear = np.arange(self.trees), np.ones((len(self.sample), self.trees), bool)
+        for level in range(self.depth):
+            gap = flat[:, :, level] - self.splits[tree, node]
+            clear &= np.abs(gap) > 1e-9 * (1 + np.abs(flat[:, :, level]))
+            node = 2 * node + 1 + (gap > 0)
+        return node - (2**self.depth - 1), clear
+
     def calibrate(self, k: int, recall: float, queries: int = 64) -> None:
         """Smallest share of the sample that finds ``recall`` of its true neighbours."""
         x = self.sample
@@ -177,16 +189,21 @@ def nearest(
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = ready.value
+        own_leaves, clear = f.sure()
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 x = np.stack(pdf["vector"].to_numpy()[at : at + 256])
                 flat = f.project(x)
                 d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (f.sample**2).sum(1)[None] - 2 * x @ f.sample.T))
-                radius = np.partition(d, most - 1, axis=1)[:, most - 1] * (1 + 1e-6) + 1e-6 if len(f.sample) > most else np.full(len(x), np.inf)
                 for i, own in enumerate(x):
-                    hit = [(t, leaf, s) for t, leaf in f.reached(flat[i], f.share * f.counts[0].sum()) for s in range(slices[t, leaf])]
+                    leaves = f.reached(flat[i], max(f.share * f.counts[0].sum(), most))
+                    visited = np.zeros((f.trees, 2**f.depth), bool)
+                    visited[tuple(np.array(leaves).T)] = True
+                    near = d[i][(visited[np.arange(f.trees), own_leaves] & clear).any(axis=1)]
+                    radius = np.partition(near, most - 1)[most - 1] * (1 + 1e-6) + 1e-6 if len(near) >= most else np.inf
+                    hit = [(t, leaf, s) for t, leaf in leaves for s in range(slices[t, leaf])]
                     t, leaf, s = (np.array(c, np.int32) for c in zip(*hit, strict=True))
-                    yield pd.DataFrame({"tree": t, "leaf": leaf, "slice": s, "q": [own] * len(t), "radius": radius[i]})
+                    yield pd.DataFrame({"tree": t, "leaf": leaf, "slice": s, "q": [own] * len(t), "radius": radius})
 
     # ids holds only the smallest ids of a vector, so queries are taken from all rows
     queries = rows.where(is_query(F.col("vec_id")))

@@ -67,10 +67,35 @@ def epoch_table(spark: SparkSession, total: int, length: int) -> DataFrame:
     return spark.range(0, -(-total // length)).select(F.col("id").alias("epoch"), first.alias("first_sample"), F.least(F.lit(length), F.lit(total) - first).cast("long").alias("length"))
 
 
-def offsets_to_ranges(offsets: DataFrame, size: int, first: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+def running_offsets(sizes: DataFrame, size: str, bucket: int, order: str = "epoch", name: str = "offset") -> DataFrame:
+    """``name``: where each row starts if all lie one after the other by ``order`` (whole numbers).
+
+    Rows are summed up inside buckets of ``bucket`` orders, and each bucket starts where the sums of
+    those before it end; only the sums (one row a bucket) are taken in order.
+    """
+    at = F.floor(F.col(order) / bucket).cast("long")
+    sums = sizes.groupBy(at.alias("_bucket")).agg(F.sum(size).alias("_sum"))
+    starts = sums.select("_bucket", (F.sum("_sum").over(Window.orderBy("_bucket")) - F.col("_sum")).alias("_start"))
+    own = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = sizes.withColumn("_bucket", at).withColumn("_upto", F.sum(size).over(own))
+    return inside.join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_upto") - F.col(size)).drop("_bucket", "_start", "_upto")
+
+
+def offsets_to_ranges(offsets: DataFrame, size: int, first: int = 0, keys: tuple[str, ...] = (), bucket: int | None = None) -> DataFrame:
     """(epoch, offset) to (epoch, fpos, size), the last one up to the end of the data; rows whose
-    size is not positive are data errors, and so marked in ``valid``.  ``keys`` tell recordings apart."""
-    after = F.lead("offset", 1).over(Window.partitionBy(*keys).orderBy("epoch"))
+    size is not positive are data errors, and so marked in ``valid``.  ``keys`` tell recordings apart.
+
+    ``bucket``: of so many epochs each, windows are taken one by one; only the first offset of each
+    bucket goes to the one before.  Without it a recording is one window.
+    """
+    if bucket is None:
+        after = F.lead("offset", 1).over(Window.partitionBy(*keys).orderBy("epoch"))
+    else:
+        offsets = offsets.withColumn("_bucket", F.floor(F.col("epoch") / bucket).cast("long"))
+        firsts = offsets.groupBy(*keys, "_bucket").agg(F.min_by("offset", "epoch").alias("_first"))
+        nexts = firsts.select(*keys, "_bucket", F.lead("_first", 1).over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_next"))
+        offsets = offsets.join(nexts, [*keys, "_bucket"])
+        after = F.coalesce(F.lead("offset", 1).over(Window.partitionBy(*keys, "_bucket").orderBy("epoch")), F.col("_next"))
     span = F.coalesce(after, F.lit(size)) - F.col("offset")
     return offsets.select(*keys, "epoch", (F.col("offset") + first).alias("fpos"), span.alias("size"), (span > 0).alias("valid"))
 

@@ -110,6 +110,20 @@ def epoch_offsets_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.offsets_to_ranges(offsets, 100_000_000_000, 10)
 
 
+_ALL_OFFSETS = _OFFSETS.removesuffix(" where o_orderkey <= 500")
+#: Epochs of one window.
+BUCKET = 1 << 16
+
+
+@query(f"""with o as ({_ALL_OFFSETS}), e as (select sum(cast(floor(o_totalprice) as bigint) + 1) as total from orders)
+  select epoch, cast("offset" + 10 as bigint) as fpos, cast(coalesce(lead("offset") over (order by epoch), total) - "offset" as bigint) as size, true as valid from o, e""")
+def epoch_offsets_to_ranges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all orders, whose data end with the last one."""
+    sizes = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("epoch"), (F.floor("o_totalprice").cast("long") + 1).alias("size"))
+    end = sizes.agg(F.sum("size")).first()[0] or 0
+    return signal.offsets_to_ranges(signal.running_offsets(sizes, "size", BUCKET).select("epoch", "offset"), end, 10, bucket=BUCKET)
+
+
 @query(f"with {DENSE_SQL} select storage_row, sample, value from dense join {ORDER_SQL} using (sensor)")
 def row_order_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.to_storage_order(s.dense(spark, sf_dir), signal.order_table(spark, ORDER)).select("storage_row", "sample", "value")
@@ -331,6 +345,17 @@ def electrode_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_electrodes.select("c_custkey", validate.valid_electrode().alias("valid"))
 
 
+@query(f"""select o_orderkey, {_LABEL_RULE.format("o_orderstatus", 10)} and o_orderstatus != '' and left(o_orderstatus, 1) not in ('[', ';')
+  and {_LABEL_RULE.format("o_orderpriority", 10)} and o_orderpriority != '' and isfinite(o_totalprice) as valid from orders""")
+def electrode_validate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules over names that are units and names that are not."""
+    as_electrodes = s.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("unit"), F.lit("").alias("reference"), F.lit("").alias("status"), F.lit("").alias("type"),
+        F.col("o_totalprice").alias("iscale"), F.lit(1.0).alias("rscale"),
+    )
+    return as_electrodes.select("o_orderkey", validate.valid_electrode().alias("valid"))
+
+
 @query("""select event_id, floor((epoch_us(ts) + 2209161600000000) / 1000000) / 86400.0 as day, (epoch_us(ts) % 1000000) / 1e6 as part from events""")
 def dcdate_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "events").select("event_id", dates.day_number(F.col("ts")).alias("day"), dates.second_part(F.col("ts")).alias("part"))

@@ -127,9 +127,7 @@ class Crf:
         index = self.index
         return np.array([self.weights[[index[f] for f in r if f in index]].sum(axis=0) for r in rows])
 
-    def viterbi(self, rows: list[list[str]]) -> tuple[list[int], float]:
-        """Best tags, and how far its score lies above that of all O."""
-        e = self.emissions(rows)
+    def _best(self, e: np.ndarray) -> tuple[list[int], float]:
         score, back = self.moves[0] + e[0], []
         for x in e[1:]:
             table = score[:, None] + self.moves
@@ -141,8 +139,21 @@ class Crf:
         for b in reversed(back):
             tag = int(b[tag])
             tags.append(tag)
-        plain = e[:, 0].sum() + self.moves[0, 0] * (len(e) + 1)
-        return tags[::-1], float(score.max() - plain)
+        return tags[::-1], float(score.max())
+
+    def viterbi(self, rows: list[list[str]], known: list[bool] | None = None) -> tuple[list[int], float]:
+        """Best tags, and how far its score lies above that of all O.  ``known`` tokens are secret:
+        they are never O, and the others are compared with all of those O."""
+        e = self.emissions(rows)
+        if known is None or not any(known):
+            tags, score = self._best(e)
+            return tags, score - float(e[:, 0].sum() + self.moves[0, 0] * (len(e) + 1))
+        at = np.array(known)
+        e[at, 0] = -np.inf
+        tags, score = self._best(e)
+        plain = e.copy()
+        plain[~at, 1:] = -np.inf
+        return tags, score - self._best(plain)[1]
 
     @staticmethod
     def fit(chains: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-3, seed: int = 5) -> Crf:
@@ -224,22 +235,28 @@ def fit_crf(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: in
 
 
 def spans_of(text: str, crf: Crf | None, margin: float = MARGIN) -> list[tuple[str, int, int]]:
-    """All spans of a text: pattern matches, and tagged stretches that touch none of them."""
+    """All spans of a text: pattern matches, and tagged tokens that touch none of them.  Tokens in
+    pattern matches are secret to the field, whose other tokens in the stretch may be so too."""
     base = base_spans(text)
     if crf is None:
         return base
     more, of_file = [], None
     for run in stretches(text):
-        if any(s < run[-1][1] and run[0][0] < e for _, s, e in base):
+        known = [any(s < b and a < e for _, s, e in base) for a, b in run]
+        if all(known):
             continue
         of_file = of_file or file_features(text)
-        tags, above = crf.viterbi([[f.replace(" ", "_") for f in features(text, a, b, of_file)] for a, b in run])
+        tags, above = crf.viterbi([[f.replace(" ", "_") for f in features(text, a, b, of_file)] for a, b in run], known)
         if above >= margin:
-            for (a, b), t in zip(run, tags, strict=True):
-                if t == 1 or t == 2 and not more:
-                    more.append(["crf", a, b])
-                elif t == 2:
+            inside = False
+            for (a, b), t, own in zip(run, tags, known, strict=True):
+                if own or not t:
+                    inside = False
+                elif t == 2 and inside:
                     more[-1][2] = b
+                else:
+                    more.append(["crf", a, b])
+                    inside = True
     return sorted(base + [(k, a, b) for k, a, b in more], key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -2,13 +2,12 @@
 
 The patterns find what has a known form.  The field (CRF) finds the rest: it tags tokens O
 (outside), B (first of a secret) or I (inside one) from their shape, the words around them and
-features of the whole file, and is decoded by Viterbi.  A token without a digit or shorter than
-``MIN_TOKEN`` is O by constraint.  Such tokens cut the chain into independent stretches, each of
-which starts and ends in O, so only the stretches of other tokens are decoded; the result is that
-of decoding the whole constrained chain.
+features of the whole file, and is decoded by Viterbi.  Every token of a text is one of the chain.
+A bound from the weights tells which tokens are O in the best tagging whatever stands around them;
+those cut the chain, and only the rest is decoded.  The result is that of decoding the whole chain.
 
 The field is trained here on a bounded sample, by gradient ascent on the likelihood; the tags to
-learn are tokens inside pattern matches against all others.
+learn are tokens inside pattern matches against all others, with the tokens next to them.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +29,9 @@ MIN_TOKEN = 12
 #: Documents and stretches the fit reads at most.
 FIT_DOCS = 20_000
 FIT_STRETCHES = 6_000
-#: A stretch is reported if its best tagging is this much likelier than all O (log odds).
+#: Tokens on either side that the fit reads with a secret or a stretch.
+FIT_BESIDE = 2
+#: A span is reported if the best tagging is this much likelier than the best without it (log odds).
 MARGIN = 1.0
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,6 +39,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _TOKEN = re.compile(rf"[A-Za-z0-9+/=_-]{{{MIN_TOKEN},}}")
+_WORD = re.compile(r"[\w+/=-]+")
 _DIGIT = re.compile(r"[0-9]")
 _BEFORE = re.compile(r"([A-Za-z_]+)[^A-Za-z_]*$")
 _AFTER = re.compile(r"[A-Za-z_]+")
@@ -56,8 +59,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def value_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """What is secret in pattern matches: of an assignment, what is assigned."""
+    return sorted((_ASSIGN.match(text, a, b).start(2) if kind == "assign" else a, b) for kind, a, b in base)
+
+
+def tokens(text: str, values: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """All tokens of a text, cut where a known secret starts or ends."""
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if not values:
+        return spans
+    edges = sorted({x for v in values for x in v})
+    out, k = [], 0
+    for a, b in spans:
+        while k < len(edges) and edges[k] <= a:
+            k += 1
+        at = k
+        while at < len(edges) and edges[at] < b:
+            out.append((a, edges[at]))
+            a = edges[at]
+            at += 1
+        out.append((a, b))
+    return out
+
+
+def touched(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[bool]:
+    """Which of ``spans`` (in order) overlap one of ``others``."""
+    out = [False] * len(spans)
+    starts = [a for a, _ in spans]
+    for s, e in others:
+        k = max(0, bisect_right(starts, s) - 1)
+        while k < len(spans) and spans[k][0] < e:
+            out[k] = out[k] or spans[k][1] > s
+            k += 1
+    return out
+
+
 def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens that may be secret, at most two characters and no white space apart."""
+    """Runs of long tokens with digits, at most two characters and no white space apart: the fit
+    reads what is around them."""
     out: list[list[tuple[int, int]]] = []
     if not _DIGIT.search(text):
         return out
@@ -85,9 +125,7 @@ def file_features(text: str) -> list[str]:
     ]
 
 
-def features(text: str, a: int, b: int, of_file: list[str]) -> list[str]:
-    """Of one token: its shape, its neighbours, its file."""
-    tok = text[a:b]
+def shape(tok: str) -> list[str]:
     n = len(tok)
     counts = Counter(tok)
     digits = sum(c.isdigit() for c in tok)
@@ -95,9 +133,9 @@ def features(text: str, a: int, b: int, of_file: list[str]) -> list[str]:
     entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
     kinds = [0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in tok]
     turns = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / n
-    out = [
+    return [
         "bias",
-        f"len{_bucket(n, 16, 20, 24, 32, 40, 41, 64)}",
+        f"len{_bucket(n, 4, 6, 8, 12, 16, 20, 24, 32, 40, 41, 64)}",
         f"digits{_bucket(digits / n, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0)}",
         f"upper{_bucket(upper / n, 0.01, 0.2, 0.5, 0.9)}",
         f"lower{_bucket(lower / n, 0.01, 0.2, 0.5, 0.9)}",
@@ -107,14 +145,31 @@ def features(text: str, a: int, b: int, of_file: list[str]) -> list[str]:
         f"groups{min(4, tok.count('-') + tok.count('/') + tok.count('_'))}",
         "start:" + "".join("0Aa-"[k] for k in kinds[:4]),
     ]
-    before, after = text[max(0, a - 32) : a], text[b : b + 24]
-    w = _BEFORE.search(before)
-    out.append("prev:" + (w[1].lower() if w and len(w[1]) <= 16 else "-"))
-    out.append("left:" + (before.rstrip(" \"'")[-1:] if not before.rstrip(" \"'")[-1:].isalnum() else "w"))
-    out.append("quote:" + str(before[-1:] in "\"'" and before != "" and after[:1] == before[-1:]))
+
+
+def before_features(before: str) -> list[str]:
+    """Of the 32 characters before a token, or those from the start of the token before it."""
+    w, rest = _BEFORE.search(before), before.rstrip(" \"'")[-1:]
+    return ["prev:" + (w[1].lower() if w and len(w[1]) <= 16 else "-"), "left:" + ("w" if rest.isalnum() else rest.replace(" ", "_")), "gap:" + ("-" if not before else "blank" if before[-1].isspace() else "sign")]
+
+
+def after_features(after: str) -> list[str]:
+    """Of the 24 characters after a token."""
     w = _AFTER.search(after)
-    out.append(f"next:{_bucket(len(w[0]) if w else 0, 1, 4, 9)}")
-    return out + of_file
+    return [f"next:{_bucket(len(w[0]) if w else 0, 1, 4, 9)}"]
+
+
+def quoted(text: str, a: int, b: int) -> bool:
+    return a > 0 and text[a - 1] in "\"'" and text[b : b + 1] == text[a - 1]
+
+
+def features(text: str, a: int, b: int, of_file: list[str]) -> list[str]:
+    """Of one token: its shape, its neighbours, its file."""
+    return shape(text[a:b]) + beside(text, a, b, of_file)
+
+
+def beside(text: str, a: int, b: int, of_file: list[str]) -> list[str]:
+    return before_features(text[max(0, a - 32) : a]) + after_features(text[b : b + 24]) + [f"quote:{quoted(text, a, b)}"] + of_file
 
 
 class Crf:
@@ -122,6 +177,66 @@ class Crf:
 
     def __init__(self, names: list[str], weights: np.ndarray, moves: np.ndarray):
         self.index, self.weights, self.moves = {x: k for k, x in enumerate(names)}, weights, moves
+        self._forget()
+        # A run of tokens that aren't O stands between two O in the best tagging and is worth no less
+        # than all O there.  Its moves are worth at most ``ends`` and, for each token, ``step``.
+        m = moves
+        self.step = float(m[1:, 1:].max() - m[0, 0])
+        self.ends = float(m[0, 1:].max() + m[1:, 0].max() - 2 * m[0, 0]) - self.step
+
+    def _forget(self) -> None:
+        """Emissions of shapes and neighbourhoods met so far, by number."""
+        self.numbers: tuple[dict[str, int], ...] = ({}, {}, {})
+        self.known, self.filled = np.zeros((1024, 3)), 0
+
+    def _number(self, kind: int, part: str) -> int:
+        """Number of a shape (0), of what is before (1) or after (2); -1 if that says too little."""
+        if kind and not (_AFTER.search(part[:24] if kind == 2 else part) and (kind == 2 or len(part) <= 32)):
+            k = -1
+        else:
+            k, self.filled = self.filled, self.filled + 1
+            if k == len(self.known):
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            self.known[k] = self.emissions([(shape, before_features, lambda x: after_features(x[:24]))[kind](part)])[0]
+        self.numbers[kind][part] = k
+        return k
+
+    def open_tokens(self, text: str, toks: list[tuple[int, int]], of_file: list[str]) -> list[int]:
+        """Tokens (none of them cut) that may be other than O in the best tagging; all others are O
+        there for certain."""
+        if self.filled > 300_000:
+            self._forget()
+        shapes, befores, afters = self.numbers
+        number, n = self._number, len(toks)
+        xs, ys, zs, odd, quotes = [], [], [], [], []
+        last = 0
+        for k in range(n):
+            a, b = toks[k]
+            tok, before = text[a:b], text[last:a]
+            after = text[b : toks[k + 1][1]] if k + 1 < n else text[b : b + 24]
+            x, y, z = shapes.get(tok), befores.get(before), afters.get(after)
+            x = number(0, tok) if x is None else x
+            y = number(1, before) if y is None else y
+            z = number(2, after) if z is None else z
+            if y < 0 or z < 0:
+                odd.append(k)
+                y = z = x
+            elif before[-1] in "'\"" and quoted(text, a, b):
+                quotes.append(k)
+            xs.append(x)
+            ys.append(y)
+            zs.append(z)
+            last = a
+        table = self.known
+        no, yes, file = self.emissions([["quote:False"], ["quote:True"], of_file])
+        e = table[xs] + table[ys] + table[zs] + (no + file)
+        e[quotes] += yes - no
+        if odd:
+            e[odd] = table[[xs[k] for k in odd]] + self.emissions([beside(text, *toks[k], of_file) for k in odd])
+        # the largest sum of neighbours that holds a token
+        sums = np.concatenate([[0.0], np.cumsum(e[:, 1:].max(axis=1) - e[:, 0] + self.step)])
+        best = np.maximum.accumulate(sums[:0:-1])[::-1] - np.minimum.accumulate(sums[:-1])
+        return np.flatnonzero(best + self.ends >= -1e-6).tolist()
 
     def emissions(self, rows: list[list[str]]) -> np.ndarray:
         index = self.index
@@ -141,19 +256,31 @@ class Crf:
             tags.append(tag)
         return tags[::-1], float(score.max())
 
-    def viterbi(self, rows: list[list[str]], known: list[bool] | None = None) -> tuple[list[int], float]:
-        """Best tags, and how far its score lies above that of all O.  ``known`` tokens are secret:
-        they are never O, and the others are compared with all of those O."""
+    def viterbi(self, rows: list[list[str]]) -> tuple[list[int], float]:
+        """Best tags, and how far its score lies above that of all O."""
         e = self.emissions(rows)
-        if known is None or not any(known):
-            tags, score = self._best(e)
-            return tags, score - float(e[:, 0].sum() + self.moves[0, 0] * (len(e) + 1))
-        at = np.array(known)
-        e[at, 0] = -np.inf
         tags, score = self._best(e)
-        plain = e.copy()
-        plain[~at, 1:] = -np.inf
-        return tags, score - self._best(plain)[1]
+        return tags, score - float(e[:, 0].sum() + self.moves[0, 0] * (len(e) + 1))
+
+    def spans(self, rows: list[list[str]], known: list[bool], gone: list[bool], margin: float) -> list[tuple[int, int]]:
+        """Tagged runs (first, last) without ``gone`` tokens, each ``margin`` likelier than O there."""
+        e = self.emissions([[f.replace(" ", "_") for f in r] for r in rows])
+        e[np.array(known), 0] = -np.inf
+        tags, score = self._best(e)
+        out: list[list[int]] = []
+        for k, t in enumerate(tags):
+            if t and not gone[k]:
+                if t == 2 and out and out[-1][1] == k - 1:
+                    out[-1][1] = k
+                else:
+                    out.append([k, k])
+        kept = []
+        for a, b in out:
+            plain = e.copy()
+            plain[a : b + 1, 1:] = -np.inf
+            if score - self._best(plain)[1] >= margin:
+                kept.append((a, b))
+        return kept
 
     @staticmethod
     def fit(chains: list[tuple[list[list[str]], list[int]]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-3, seed: int = 5) -> Crf:
@@ -201,15 +328,29 @@ class Crf:
 
 
 def _chains(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
-    base = base_spans(text)
-    of_file = file_features(text)
-    for run in stretches(text):
-        tags, inside = [], False
-        for a, b in run:
-            hit = any(s < b and a < e for _, s, e in base)
-            tags.append(0 if not hit else 2 if inside else 1)
-            inside = hit
-        yield [features(text, a, b, of_file) for a, b in run], tags
+    """Secrets and stretches, each with the tokens beside it: chains that start and end next to an O."""
+    runs = [(r[0][0], r[-1][1]) for r in stretches(text)]
+    values = value_spans(text, base_spans(text))
+    if not runs and not values:
+        return
+    toks = tokens(text, values)
+    secret, there = touched(toks, values), touched(toks, sorted(runs + values))
+    of_file, k, n = file_features(text), 0, len(toks)
+    while k < n:
+        if not there[k]:
+            k += 1
+            continue
+        first, last = max(0, k - FIT_BESIDE), k
+        while first > 0 and secret[first - 1]:
+            first -= 1
+        while last + 1 < n and (there[last + 1] or secret[last + 1]):
+            last += 1
+        k = last + 1
+        last = min(n - 1, last + FIT_BESIDE)
+        while last + 1 < n and secret[last + 1]:
+            last += 1
+        tags = [0 if not secret[i] else 2 if i > first and any(x <= toks[i - 1][0] and toks[i][1] <= y for x, y in values) else 1 for i in range(first, last + 1)]
+        yield [features(text, *toks[i], of_file) for i in range(first, last + 1)], tags
 
 
 def fit_crf(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS, fit_stretches: int = FIT_STRETCHES) -> Crf | None:
@@ -236,28 +377,27 @@ def fit_crf(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: in
 
 def spans_of(text: str, crf: Crf | None, margin: float = MARGIN) -> list[tuple[str, int, int]]:
     """All spans of a text: pattern matches, and tagged tokens that touch none of them.  Tokens in
-    pattern matches are secret to the field, whose other tokens in the stretch may be so too."""
+    pattern matches are secret to the field, those beside them may be so too."""
     base = base_spans(text)
     if crf is None:
         return base
-    more, of_file = [], None
-    for run in stretches(text):
-        known = [any(s < b and a < e for _, s, e in base) for a, b in run]
-        if all(known):
-            continue
-        of_file = of_file or file_features(text)
-        tags, above = crf.viterbi([[f.replace(" ", "_") for f in features(text, a, b, of_file)] for a, b in run], known)
-        if above >= margin:
-            inside = False
-            for (a, b), t, own in zip(run, tags, known, strict=True):
-                if own or not t:
-                    inside = False
-                elif t == 2 and inside:
-                    more[-1][2] = b
-                else:
-                    more.append(["crf", a, b])
-                    inside = True
-    return sorted(base + [(k, a, b) for k, a, b in more], key=lambda s: (s[1], KINDS.index(s[0])))
+    values = value_spans(text, base) if base else []
+    toks, of_file = tokens(text, values), file_features(text)
+    open_ = [*range(len(toks))] if values else crf.open_tokens(text, toks, of_file) if toks else []
+    if not open_:
+        return base
+    known = touched(toks, values) if base else [False] * len(toks)
+    gone = touched(toks, [(a, b) for _, a, b in base]) if base else known
+    more, at = [], 0
+    while at < len(open_):
+        end = at + 1
+        while end < len(open_) and open_[end] == open_[end - 1] + 1:
+            end += 1
+        run, at = open_[at:end], end
+        if not all(gone[k] for k in run):
+            for a, b in crf.spans([features(text, *toks[k], of_file) for k in run], [known[k] for k in run], [gone[k] for k in run], margin):
+                more.append(("crf", toks[run[a]][0], toks[run[b]][1]))
+    return sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def find_secrets(df: DataFrame, crf: Crf | None, text: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -57,3 +57,8 @@ def test_query(spark):
         lines = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>|<br>", " ", inner))
         want = "\n".join(x for x in (" ".join(html.unescape(s).split()) for s in lines) if x)
         assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_names_that_hold_a_furniture_word_stay():
+    page = "<body><div class='content has-sidebar'><article><h2 id='search-engines'>Engines</h2><p class='notice'>Mind this.</p><section id='related-work'><h2>Related</h2><p>Others did it.</p></section><div class='comments'><p>nice</p></div></article></div></body>"
+    assert html_text.extract(page) == "Engines\nMind this.\nRelated\nOthers did it."

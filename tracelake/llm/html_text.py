@@ -46,7 +46,6 @@ _MARKUP = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
@@ -58,11 +57,14 @@ CELLS = _words("br td th")
 SAID = _words("p h1 h2 h3 h4 h5 h6 b i em strong span a")
 #: Page furniture by element.
 FURNITURE = _words("nav footer aside form script style noscript template iframe svg canvas button select option textarea dialog menu head title object audio video")
-#: Page furniture by a word of class, id or role; the second list only outside an article.
+#: Page furniture by a whole name in class, id or role; the second list only outside an article.
+#: Names that only hold such a word say nothing: the tree judges them.
 FURNITURE_WORDS = _words(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs footer contentinfo sidebar complementary widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended comment comments disqus reply replies respond form search pagination pager copyright toolbar skip hidden"
 )
 OUTER_WORDS = _words("header banner masthead")
+#: Elements that are never furniture by name.
+UNNAMED = _words("html body article main p h1 h2 h3 h4 h5 h6")
 #: Elements that hold text by themselves; the others are judged by the tree.
 TEXT = _words("html body article main header p h1 h2 h3 h4 h5 h6 pre blockquote b i em strong a span u s small sub sup code br hr img mark q cite abbr time tbody thead tr td th li dt dd font center figure figcaption")
 _NONE: frozenset[str] = frozenset()
@@ -97,8 +99,8 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, int]:
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id", "role"):
             names.append(f"{name}={' '.join(sorted(value.split()))}")
-            tokens = {t.lower() for t in _TOKENS.findall(value)}
-            if tokens & FURNITURE_WORDS and tag not in ("html", "body", "article", "main") or not inside and tokens & OUTER_WORDS and tag not in ("html", "body", "article", "main") or tag == "article" and tokens & {"comment", "comments", "reply"}:
+            own = set(value.lower().split())
+            if tag not in UNNAMED and (own & FURNITURE_WORDS or not inside and own & OUTER_WORDS) or tag == "article" and own & {"comment", "comments", "reply"}:
                 state = GONE
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             state = GONE

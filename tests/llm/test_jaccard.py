@@ -53,10 +53,12 @@ def families(seed, count=45):
 
 
 @pytest.mark.parametrize("n,percent,small", [(3, 90, False), (5, 80, True), (2, 50, True)])
-def test_against_brute_force(spark, n, percent, small):
+def test_against_brute_force(spark, monkeypatch, n, percent, small):
     rows = families(n)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    more = {"tile_rows": 4, "tile_grams": 300} if small else {}
+    monkeypatch.setattr(jaccard, "BAND_SAMPLE", 2)
+    monkeypatch.setattr(jaccard, "HOT_BANDS", 10**9)
+    more = {"tile_rows": 4, "tile_grams": 300, "hot_band": 3} if small else {}
     got = jaccard.near_duplicates(df, n=n, percent=percent, **more)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows, n, percent)
 

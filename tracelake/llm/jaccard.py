@@ -20,8 +20,8 @@ formed as a whole: bounds that follow from the sizes say which blocks can hold a
    size-derived bound go.  A block reports its links' spanning forest, at most one link a class.
 
 All links are found (no sampling, no cap); a link is judged by its exact counts.  Classes are told
-apart by 64-bit hashes: among m distinct texts two are taken as equal by chance with probability
-below m^2 / 2^65.
+apart by two 64-bit hashes of the set: among m distinct texts two are taken as equal by chance with
+probability below m^2 / 2^129.
 """
 
 from __future__ import annotations
@@ -34,25 +34,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, tidy
+from tracelake.llm.common import cut, fresh, tidy
 from tracelake.llm.components import components
 
 SHINGLE = 5
 #: Two sets link if PERCENT of their union is common.
 PERCENT = 80
 #: Classes and n-grams of a tile.
-TILE_ROWS = 4096
-TILE_GRAMS = 4_000_000
+TILE_ROWS = 2048
+TILE_GRAMS = 1_500_000
 #: Common n-grams: those in HOT_SETS sets of a slice of HOT_SLICE n-grams of a task at least; the
 #: HOT_MOST most frequent of them are broadcast.  They only order the bands; any list is correct.
 HOT_SETS = 4
-HOT_SLICE = 4_000_000
+HOT_SLICE = 1_000_000
 HOT_MOST = 50_000
+#: Rows of a band up to which one task sorts them, at least; bands with more are at most about
+#: HOT_BANDS, found in one row of BAND_SAMPLE and summed up with partial results.
+HOT_BAND = 1 << 18
+HOT_BANDS = 100_000
+BAND_SAMPLE = 64
 #: Columns multiplied at a time; those of fewer rows are counted pair by pair.
 COLUMNS = 2048
 FEW_ROWS = 24
 #: Pairs counted at a time.
-PAIRS = 4_000_000
+PAIRS = 1_000_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -153,9 +158,13 @@ def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
         size = 0
 
         def flush() -> pd.DataFrame:
-            gram, times = np.unique(np.concatenate(held), return_counts=True)
+            grams = np.concatenate(held)
+            held.clear()
+            grams.sort()
+            first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            times = np.diff(np.append(first, len(grams)))
             some = times >= HOT_SETS
-            return pd.DataFrame({"gram": gram[some].view(np.int64), "times": times[some]})
+            return pd.DataFrame({"gram": grams[first[some]].view(np.int64), "times": times[some]})
 
         for pdf in batches:
             for x in pdf["text"]:
@@ -163,10 +172,9 @@ def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
                 size += len(held[-1])
                 if size >= HOT_SLICE:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield flush()
-            held = []
         tidy()
 
     found = cut(docs.select("text").mapInPandas(counted, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")))
@@ -183,8 +191,11 @@ def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
     return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _class_of(grams: np.ndarray) -> int:
-    return int(_mix(np.add.reduce(_mix(grams + _U(0x2545F491)), keepdims=True) + _U(len(grams))).view(np.int64)[0])
+def _class_of(grams: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    sums = np.array([np.add.reduce(_mix(grams + _U(0x2545F491))), np.add.reduce(_mix(grams ^ _U(0x94D049BB133111EB)))], dtype=np.uint64)
+    one, two = _mix(sums + _U(len(grams))).view(np.int64).tolist()
+    return one, two
 
 
 def _forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -246,7 +257,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None, colu
 
 
 def _linked(count: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    return (100 + percent) * count.astype(np.int64) >= percent * (left[:, None] + right[None])
+    out = np.empty(count.shape, dtype=bool)
+    for at in range(0, len(count), 256):
+        out[at : at + 256] = (100 + percent) * count[at : at + 256].astype(np.int64) >= percent * (left[at : at + 256, None] + right[None])
+    return out
 
 
 def block_links(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
@@ -273,7 +287,27 @@ def block_links(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS) -> DataFrame:
+def _ties(sets: DataFrame, hot_band: int) -> DataFrame:
+    """Pairs (u, v): each ``g`` of a band with the smallest g of that band.
+
+    One shuffle of all bands, except those with a great many rows: a sample tells them, and they are
+    summed up before the shuffle.  Where the sample errs the result is the same.
+    """
+    banded = sets.select("g", F.explode("bands").alias("band"))
+    total = sets.agg(F.sum(F.size("bands"))).first()[0] or 0
+    many = max(hot_band, total // HOT_BANDS)
+    tied = lambda df: df.where("g != least").select(F.col("g").alias("u"), F.col("least").alias("v")).distinct()
+    by_band = lambda df: tied(df.withColumn("least", F.min("g").over(Window.partitionBy("band"))))
+    if total < many:
+        return by_band(banded)
+    sample = sets.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(BAND_SAMPLE)) == 0).select(F.explode("bands").alias("band"))
+    hot = cut(sample.groupBy("band").count().where(F.col("count") >= max(1, many // (2 * BAND_SAMPLE))).select("band"))
+    apart = banded.join(F.broadcast(hot), "band")
+    least = apart.groupBy("band").agg(F.min("g").alias("least"))
+    return by_band(banded.join(F.broadcast(hot), "band", "left_anti")).unionByName(tied(apart.join(F.broadcast(least), "band")))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS, hot_band: int = HOT_BAND) -> DataFrame:
     """One row a row of ``df``: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Null and wordless texts have 0 n-grams and link with nothing (component_id is their own id).
@@ -286,27 +320,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(x, n) for x in pdf["text"]]
+            real = [len(s) > 0 and not pd.isna(k) for k, s in zip(pdf["doc_id"], sets, strict=True)]
+            hashes = [_class_of(s) if ok else (None, None) for s, ok in zip(sets, real, strict=True)]
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"].astype("Int64"),
                     "n_shingles": [len(s) for s in sets],
-                    "c": pd.array([_class_of(s) if len(s) and not pd.isna(k) else None for k, s in zip(pdf["doc_id"], sets, strict=True)], dtype="Int64"),
-                    "bands": [bands(s, percent, hot.value).view(np.int64) if len(s) and not pd.isna(k) else np.empty(0, np.int64) for k, s in zip(pdf["doc_id"], sets, strict=True)],
+                    "h1": pd.array([h for h, _ in hashes], dtype="Int64"),
+                    "h2": pd.array([h for _, h in hashes], dtype="Int64"),
+                    "bands": [bands(s, percent, hot.value).view(np.int64) if ok else np.empty(0, np.int64) for s, ok in zip(sets, real, strict=True)],
                 }
             )
         tidy()
 
-    rows = cut(docs.mapInPandas(signed, "doc_id long, n_shingles long, c long, bands array<long>"))
-    with_set = rows.where("c is not null")
-    classes = cut(with_set.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+    rows = cut(docs.mapInPandas(signed, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+    with_set = rows.where("h1 is not null")
+    found = with_set.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    classes = cut(found.withColumn("c", F.monotonically_increasing_id()))  # written, so the numbers stay
 
-    # Ties of each class to the smallest class of its bands
-    banded = with_set.select("c", F.explode("bands").alias("band"))
-    least = banded.withColumn("least", F.min("c").over(Window.partitionBy("band")))
-    ties = least.where("c != least").select(F.col("c").alias("u"), F.col("least").alias("v")).distinct()
-    tied = components(ties)
-    roots = tied.select(F.col("root").alias("c"), F.col("root").alias("comp")).distinct()
-    members = cut(classes.join(tied.select(F.col("node").alias("c"), F.col("root").alias("comp")).unionByName(roots), "c"))
+    # Ties to the smallest first hash of a band.  Two classes with one first hash are only tied by it
+    tied = components(_ties(with_set.select("doc_id", F.col("h1").alias("g"), "bands"), hot_band))
+    roots = tied.select(F.col("root").alias("h1"), F.col("root").alias("comp")).distinct()
+    members = cut(classes.join(tied.select(F.col("node").alias("h1"), F.col("root").alias("comp")).unionByName(roots), "h1"))
 
     # Blocks
     sizes = F.array(*[F.lit(x) for x in _size_classes(percent)[:64]])
@@ -333,25 +368,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     )
     block = F.when(F.col("tiles").isNull(), F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string")))).otherwise(meets)
     tile = F.when(F.col("tiles").isNull(), "").otherwise(F.concat_ws("|", F.format_string("%03d", lev), own.cast("string")))
-    placed = members.join(per_comp.select("comp", "tiles"), "comp").select("c", "comp", "rep", block.alias("blocks"), tile.alias("tile"))
+    placed = members.join(per_comp.select("comp", "tiles"), "comp").select("c", "h1", "h2", "comp", "rep", block.alias("blocks"), tile.alias("tile"))
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [shingles(x, n) for x in pdf["text"]]
-            same = [len(s) > 0 and _class_of(s) == c for s, c in zip(sets, pdf["c"], strict=True)]
+            same = [len(s) > 0 and _class_of(s) == h for s, h in zip(sets, zip(pdf["h1"], pdf["h2"], strict=True), strict=True)]
             yield pdf.assign(grams=[s.astype("<u8").tobytes() for s in sets])[same][["c", "comp", "tile", "blocks", "grams"]]
         tidy()
 
     texts = docs.join(placed, docs["doc_id"] == placed["rep"])
-    sets = texts.select("c", "comp", "tile", "blocks", "text").mapInPandas(gathered, "c long, comp long, tile string, blocks array<string>, grams binary")
+    sets = texts.select("c", "h1", "h2", "comp", "tile", "blocks", "text").mapInPandas(gathered, "c long, comp long, tile string, blocks array<string>, grams binary")
     in_blocks = sets.select("c", "comp", "tile", "grams", F.explode("blocks").alias("block"))
     links = in_blocks.groupBy("block").applyInPandas(lambda pdf: block_links(pdf, percent), "u long, v long")
     joined = components(links)
 
-    rooted = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").select("c", "rep", F.coalesce("root", "c").alias("root"))
+    rooted = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").select("h1", "h2", "rep", F.coalesce("root", "c").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = rooted.join(least_id, "root").select("c", "component_id")
-    return rows.select("doc_id", "n_shingles", "c").join(of_class, "c", "left").select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_set = rooted.join(least_id, "root").select("h1", "h2", "component_id")
+    return rows.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -361,6 +396,6 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", n: int =
     Rows with null ids all stay.  Documents without words stay, as they link with nothing.
     """
     kept = near_duplicates(df, key, text, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    once = Window.partitionBy(key).orderBy(F.xxhash64(text), F.xxhash64(*df.columns))
-    rows = df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").withColumn("_row", F.row_number().over(once)).where("_row = 1").drop("_row")
+    once, row = Window.partitionBy(key).orderBy(F.xxhash64(text), F.xxhash64(*df.columns)), fresh("_row", df)
+    rows = df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").withColumn(row, F.row_number().over(once)).where(F.col(row) == 1).drop(row)
     return rows.select(*df.columns).unionByName(df.where(F.col(key).isNull()))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import each, fresh, least_hashes
+
 #: N-grams kept for a language and for a document.
 PROFILE_SIZE = 400
 MAX_ORDER = 3
@@ -114,8 +116,8 @@ def fit_profiles(
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(1.0, fit_docs / r["count"]) * 1_000_000))])
-    sample = labelled.where(F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    below = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], least_hashes(r["count"], fit_docs))])
+    sample = labelled.where(F.xxhash64(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(11)) <= below[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -184,8 +186,8 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], text: str = "text",
     model = df.sparkSession.sparkContext.broadcast(RankClassifier(profiles, size, max_order))
 
     @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.value.predict(x) for x in texts], columns=["lang_pred", "score"])
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return each(lambda texts: pd.DataFrame([model.value.predict(x) for x in texts], columns=["lang_pred", "score"]), batches)
 
-    found = "_langid_found"
+    found = fresh("_langid_found", df)
     return df.withColumn(found, predicted(F.col(text))).withColumns({"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score")}).drop(found)

@@ -60,9 +60,9 @@ def test_shards_and_edges(spark):
         assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == [(15, 12, ["1", "2"]), (0, 0, []), (0, 0, []), (1, 0, []), (15, 12, ["1", "2"]), (15, 12, ["1", "2"])]
     assert D.contamination(df, items.limit(0)).where("n_hit > 0").count() == 0
     assert D.contamination(df.limit(0), items).count() == 0
-    cleaned = D.remove_spans(D.contamination(df, items), drop_coverage=0.9).collect()
+    cleaned = D.contamination(df, items, remove=True, drop_coverage=0.9).collect()
     assert [r["text"] for r in cleaned] == ["x y z", None, "", "short", "x y z", "x y z"]
-    assert D.remove_spans(D.contamination(df, items), drop_coverage=0.5).count() == 3  # the others are little else
+    assert D.contamination(df, items, remove=True, drop_coverage=0.5).count() == 3  # the others are little else
 
 
 def test_query(spark):

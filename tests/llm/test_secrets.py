@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from tracelake.llm import secrets
+from tracelake.llm import common, secrets
 from tracelake.llm.queries import QUERIES
 
 
@@ -148,16 +148,16 @@ def test_texts_of_a_batch_do_not_touch():
 
 def test_the_sample_is_never_empty():
     for count in (2_000, 50_000_000_000, 10**14):
-        below = secrets.least_hashes(count, 1500)
+        below = common.least_hashes(count, 1500)
         assert abs((below + (1 << 63)) / (1 << 64) * count - 1500) < 1
-    assert secrets.least_hashes(10, 1500) == (1 << 63) - 1
+    assert common.least_hashes(10, 1500) == (1 << 63) - 1
 
 
 def test_edges_and_redaction(spark):
     rows = [(1, "x token = abcdef01 y", 1), (2, None, 1), (3, "", 1), (None, "plain", 1), (1, "x token = abcdef01 y", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, secrets int")
     assert secrets.fit_crf(df.drop("secrets")) is not None and secrets.fit_crf(df.limit(0)) is None
-    got = secrets.redact(secrets.find_secrets(df, None)).collect()
+    got = secrets.redact(df, None).collect()
     assert [r["text"] for r in got] == ["x [redacted] y", None, "", "plain", "x [redacted] y"]
     assert secrets.find_secrets(df.limit(0), None).count() == 0
     assert all(not secrets.base_spans(r["text"] or "") for r in got)

@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import cut, each, fresh
 
 WINDOW = 10
 SHARD_WORDS = 500_000
@@ -200,37 +202,84 @@ def shards(benchmark: DataFrame, item: str = "item_id", text: str = "text", wind
         yield ItemMatcher(held, window)
 
 
-def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def cleaned(text: str, spans: list[tuple[int, int]], n_words: int, n_hit: int, span_words: int, coverage: float) -> str:
+    """The text without hit spans of ``span_words`` words or more, or without any if its share of
+    hit words exceeds ``coverage``; what is around a removed span is joined by one blank."""
+    gone = [(a, b) for a, b in spans if b - a >= span_words or n_hit > coverage * n_words]
+    if not gone:
+        return text
+    at = [m.span() for m in _WORD.finditer(text)]
+    parts, left = [], 0
+    for a, b in gone:
+        part = text[left : at[a][0]].rstrip()
+        parts.append(part.lstrip() if left else part)
+        left = at[b - 1][1]
+    parts.append(text[left:].lstrip())
+    return " ".join(p for p in parts if p)
+
+
+_FOUND = "n_words long, n_hit long, longest long, spans array<struct<start:long,end:long>>, items array<string>, cleaned string"
+
+
+def contamination(
+    df: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, remove: bool = False, span_words: int = SPAN_WORDS, coverage: float = COVERAGE, drop_coverage: float = DROP_COVERAGE
+) -> DataFrame:
     """``df`` with n_words, n_hit, spans (array of word ranges), longest (longest item stretch
     that ends in a hit span) and items (item ids, sorted as strings); columns of those names are
     replaced.
 
-    Null and empty texts have no words.  Items with equal text all count.  An empty benchmark
-    hits nothing.
+    With ``remove``, hit spans are taken out of the texts: a span goes if it has ``span_words`` words
+    or more, or if the document's share of hit words exceeds ``coverage``; documents whose share
+    exceeds ``drop_coverage`` go as a whole.  Other documents keep their text byte for byte.
+
+    Null and empty texts have no words.  Items with equal text all count, repeated rows get equal
+    results, very long texts are read whole.  An empty benchmark hits nothing, an empty table gives
+    an empty one.
+
+    Each pass over the documents broadcasts one shard; with more shards what was found so far is
+    written and goes into the next pass, so no worker holds more than one.
     """
-    spark = df.sparkSession
-    kind = "n_words long, n_hit long, longest long, spans array<struct<start:long,end:long>>, items array<string>"
-    matchers = [spark.sparkContext.broadcast(x) for x in shards(benchmark, text=text if text in benchmark.columns else "text", window=window, shard_words=shard_words)]
-
-    @F.pandas_udf(kind)
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in texts:
+    at = fresh("_contamination", df)
+    found = df.withColumn(at, F.lit(None).cast(f"struct<{_FOUND}>"))
+    matchers = shards(benchmark, text=text if text in benchmark.columns else "text", window=window, shard_words=shard_words)
+    m, last = next(matchers, None), False
+    while not last:
+        after = next(matchers, None)
+        last = after is None
+        sent = df.sparkSession.sparkContext.broadcast(m)
+        found = found.withColumn(at, _matched(sent, (span_words, coverage) if remove and last else None)(F.col(text), F.col(at)))
+        if not last:
+            found = cut(found)
+        m = after
+    found = found.withColumns({k: F.col(f"{at}.{k}") for k in ("n_words", "n_hit", "longest", "spans", "items")})
+    if remove:
+        kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.col("n_words") * F.lit(drop_coverage)))
+        found = kept.withColumn(text, F.coalesce(F.col(f"{at}.cleaned"), F.col(text)))
+    return found.drop(at)
+
+
+def _matched(sent: Broadcast, removal: tuple[int, float] | None) -> Callable[..., Column]:
+    def of_batch(batch: tuple[pd.Series, pd.DataFrame]) -> pd.DataFrame:
+        rows, m = [], sent.value
+        texts, before = batch
+        for x, old_spans, old_items, old_longest in zip(texts, before["spans"], before["items"], before["longest"], strict=True):
             ws = words(x)
-            spans: list[tuple[int, int]] = []
-            items: set[str] = set()
-            longest = 0
-            for m in matchers:
-                own, which, most = m.value.hits(ws)
-                spans += own
-                longest = max([longest, *most])
-                items.update(m.value.items[k] for k in which)
-            spans = merged(spans)
-            rows.append((len(ws), sum(b - a for a, b in spans), longest, [{"start": a, "end": b} for a, b in spans], sorted(items)))
-        return pd.DataFrame(rows, columns=["n_words", "n_hit", "longest", "spans", "items"])
-
-    at = "_contamination"
-    return df.withColumn(at, found(F.col(text))).withColumns({k: F.col(f"{at}.{k}") for k in ("n_words", "n_hit", "longest", "spans", "items")}).drop(at)
+            spans, which, most = m.hits(ws) if m is not None else ([], set(), [])
+            items = {m.items[k] for k in which}
+            if old_spans is not None and len(old_spans):
+                spans = merged([*spans, *((s["start"], s["end"]) for s in old_spans)])
+                items.update(old_items)
+                most = [*most, int(old_longest)]
+            n_hit = sum(b - a for a, b in spans)
+            rest = cleaned(x, spans, len(ws), n_hit, *removal) if spans and removal else None
+            rows.append((len(ws), n_hit, max(most, default=0), [{"start": a, "end": b} for a, b in spans], sorted(items), rest))
+        return pd.DataFrame(rows, columns=["n_words", "n_hit", "longest", "spans", "items", "cleaned"])
+
+    @F.pandas_udf(_FOUND)
+    def found(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        return each(of_batch, batches)
+
+    return found.asNondeterministic()  # else a filter on what it finds runs it twice
 
 
 def digest(items: list[str]) -> str:

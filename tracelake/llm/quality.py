@@ -12,11 +12,15 @@ logits), which is what executors get: 2^18 floats, whatever the size of the corp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import each
+
 BITS = 18
 BUCKETS = 1 << BITS
 DIM = 8
@@ -105,21 +109,31 @@ class Batch:
         out[:, 5] = self.structure.sum(axis=1)
         return out
 
-    def rows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of one text with their weights: 1 in all for each kind."""
-        at, by = [], []
+    def rows(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Buckets of one text with their counts, for each kind."""
+        out = []
         for grams in self.grams:
             own = []
             for bucket, ok, edges in grams:
                 a, b = edges[k], edges[k + 1] if k + 1 < len(edges) else len(bucket)
                 own.append(bucket[a:b][ok[a:b]])
-            u, c = np.unique(np.concatenate(own), return_counts=True)
-            at.append(u)
-            by.append(c / max(1, c.sum()))
+            out.append(np.unique(np.concatenate(own), return_counts=True))
+        out += [(np.empty(0, np.int64), np.empty(0, np.int64))] * (2 - len(out))
         own = self.structure[k]
-        at.append(np.flatnonzero(own))
-        by.append(own[own > 0] / max(1, own.sum()))
-        return np.concatenate(at).astype(np.int32), np.concatenate(by).astype(np.float32)
+        return [*out, (np.flatnonzero(own), own[own > 0])]
+
+
+def weighted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text with their weights, 1 in all for each kind: counts of all slices, as they
+    are added up for the score."""
+    slices = [Batch([x]).rows(0) for _, x in _slices([text])]
+    at, by = [np.empty(0, np.int64)], [np.empty(0)]
+    for kind in zip(*slices, strict=True):
+        u, place = np.unique(np.concatenate([a for a, _ in kind]), return_inverse=True)
+        c = np.bincount(place, np.concatenate([n for _, n in kind]), len(u))
+        at.append(u)
+        by.append(c / max(1, c.sum()))
+    return np.concatenate(at).astype(np.int32), np.concatenate(by).astype(np.float32)
 
 
 def _slices(texts: list[str | None]) -> list[tuple[int, str]]:
@@ -159,10 +173,7 @@ class SubwordModel:
         if len(set(labels)) < 2:
             return SubwordModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
         rng = np.random.default_rng(seed)
-        docs: list[tuple[np.ndarray, np.ndarray]] = []
-        for x in texts:
-            rows = [Batch([part]).rows(0) for _, part in _slices([x])] or [(np.empty(0, np.int32), np.empty(0, np.float32))]
-            docs.append((np.concatenate([at for at, _ in rows]), np.concatenate([by for _, by in rows]) / len(rows)))
+        docs = [weighted(x) for x in texts]
         vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
         squares = np.full(BUCKETS, 1e-6, np.float32)
         layer = rng.uniform(-0.5, 0.5, (dim, 2)).astype(np.float32)
@@ -212,7 +223,7 @@ def score_quality(df: DataFrame, model: SubwordModel, text: str = "text", thresh
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.value.scores(texts.tolist()), dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return each(lambda texts: pd.Series(sent.value.scores(texts.tolist()), dtype="float64"), batches)
 
     return df.withColumn("score", scored(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

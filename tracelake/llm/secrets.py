@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import each, fresh, least_hashes
+
 KINDS = ("assign", "access", "hex", "crf")
 #: Documents the fit reads, about; each gives at most FIT_EACH chains of a sort, of FIT_LONGEST
 #: tokens at most.
@@ -522,11 +524,6 @@ def chains_of(text: str, seed: int, each: int = FIT_EACH) -> Iterator[tuple[list
             yield chain(near_by, marked, inside[0], inside[-1])
 
 
-def least_hashes(count: int, most: int) -> int:
-    """Threshold that lets about ``most`` of ``count`` 64-bit hashes through (those below it)."""
-    return min((1 << 63) - 1, -(1 << 63) + (most * (1 << 64)) // max(1, count))
-
-
 def fit_crf(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> Crf | None:
     """Train on a bounded sample of about ``fit_docs`` documents, those with the smallest hashes of
     ``key``; of texts, null and empty ones teach nothing.  None if there is no token in the sample.
@@ -578,14 +575,27 @@ def spans_of(texts: list[str], crf: Crf | None, margin: float = MARGIN) -> list[
     return out
 
 
-def find_secrets(df: DataFrame, crf: Crf | None, text: str = "text", margin: float = MARGIN) -> DataFrame:
+def marked(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """``mark`` in place of every span, overlapping ones as one."""
+    parts, left = [], 0
+    for _, a, b in spans:
+        if a >= left:
+            parts += [text[left:a], mark]
+        left = max(left, b)
+    return "".join(parts) + text[left:]
+
+
+def find_secrets(df: DataFrame, crf: Crf | None, text: str = "text", margin: float = MARGIN, mark: str | None = None) -> DataFrame:
     """``df`` with ``secrets``, an array of (kind, start, end): code points, end exclusive, by
     start and then kind.  Null and empty texts have none, repeated rows have the same, an empty table
-    gives an empty one, very long texts are tagged whole; a column of that name is replaced."""
-    model = df.sparkSession.sparkContext.broadcast(crf)
+    gives an empty one, very long texts are tagged whole; a column of that name is replaced.
 
-    @F.pandas_udf("array<struct<kind:string,start:long,end:long>>")
-    def found(texts: pd.Series) -> pd.Series:
+    With ``mark`` it is put in place of every span in the text (then places are those before);
+    texts without secrets stay byte for byte.
+    """
+    model, at = df.sparkSession.sparkContext.broadcast(crf), fresh("_secrets", df)
+
+    def of_batch(texts: pd.Series) -> pd.DataFrame:
         out, held, size = [], [], 0
         for x in texts:
             held.append(x or "")
@@ -594,31 +604,24 @@ def find_secrets(df: DataFrame, crf: Crf | None, text: str = "text", margin: flo
                 out += spans_of(held, model.value, margin)
                 held, size = [], 0
         out += spans_of(held, model.value, margin)
-        return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in out], dtype=object)
-
-    return df.withColumn("secrets", found(F.col(text)))
-
-
-def redact(df: DataFrame, text: str = "text", secrets: str = "secrets", mark: str = "[redacted]") -> DataFrame:
-    """Put ``mark`` in place of every found span (overlapping spans as one); other texts stay byte
-    for byte."""
-
-    @F.pandas_udf("string")
-    def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for x, own in zip(texts, spans, strict=True):
-            if not len(own):
-                out.append(x)
-                continue
-            parts, left = [], 0
-            for s in own:
-                if s["start"] >= left:
-                    parts += [x[left : s["start"]], mark]
-                left = max(left, s["end"])
-            out.append("".join(parts) + x[left:])
-        return pd.Series(out, dtype=object)
-
-    return df.withColumn(text, F.when(F.size(secrets) > 0, redacted(text, secrets)).otherwise(F.col(text)))
+        cleaned = [marked(x, own, mark) if own and mark is not None else None for x, own in zip(texts, out, strict=True)]
+        rows = [[{"kind": k, "start": a, "end": b} for k, a, b in own] for own in out]
+        return pd.DataFrame({"secrets": pd.Series(rows, dtype=object), "cleaned": pd.Series(cleaned, dtype=object)})
+
+    @F.pandas_udf("secrets array<struct<kind:string,start:long,end:long>>, cleaned string")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return each(of_batch, batches)
+
+    both = df.withColumn(at, found.asNondeterministic()(F.col(text)))  # else a filter on it runs it twice
+    both = both.withColumn("secrets", F.col(f"{at}.secrets"))
+    if mark is not None:
+        both = both.withColumn(text, F.coalesce(F.col(f"{at}.cleaned"), F.col(text)))
+    return both.drop(at)
+
+
+def redact(df: DataFrame, crf: Crf | None, text: str = "text", margin: float = MARGIN, mark: str = "[redacted]") -> DataFrame:
+    """:func:`find_secrets` with the mark in place of what it finds."""
+    return find_secrets(df, crf, text, margin, mark)
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:

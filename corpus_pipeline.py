@@ -1,8 +1,12 @@
 """A corpus from raw documents: quality, near duplicates, benchmark passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it kept and returns the
-columns of ``documents``; the last returns one row a packed piece.  Stages keep null and empty
-texts as documents without words.  ``n_chars``, where there is one, follows a changed text.
+columns of ``documents``; the last returns one row a packed piece.  ``n_chars``, where there is
+one, follows a changed text.
+
+In every stage: null and empty texts are documents without words, and very long ones are read whole;
+repeated rows are judged alike (near duplicates keep one row of an id); null ids are kept as rows of
+their own; an empty table gives an empty result; further columns of the table stay as they are.
 """
 
 from __future__ import annotations
@@ -36,15 +40,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of benchmark items go; documents that are little else go as a whole."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _with_length(docs, decontaminate.remove_spans(found), F.col("n_hit") > 0)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), remove=True)
+    return _with_length(docs, found, F.col("n_hit") > 0)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     small_batches(spark)
-    found = secrets.find_secrets(docs, secrets.fit_crf(docs))
-    return _with_length(docs, secrets.redact(found), F.size("secrets") > 0)
+    return _with_length(docs, secrets.redact(docs, secrets.fit_crf(docs)), F.size("secrets") > 0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

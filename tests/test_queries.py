@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__
+import __spark_entry__  # registers all queries
 from tracelake.plans.queries import ORACLE_SQL, QUERIES
 
 

@@ -220,3 +220,43 @@ def test_event_journal(spark, tmp_path):
         w.impedance(datetime(2020, 1, 1), [])
     api.EventWriter(f"{tmp_path}/k.evt").close()
     assert not (tmp_path / "k.evt").exists()
+
+
+def test_writer_that_dies_leaves_whole_epochs(spark, tmp_path):
+    path = f"{tmp_path}/w.cnt"
+    x = (np.arange(4 * 20).reshape(4, 20) * 37 % 101).astype(np.int32)
+    w = api.RecordingWriter(spark, path)
+    w.param(series())
+    for k in range(0, 20, 5):
+        w.row_major_int32(x[:, k : k + 5])
+        assert w.written(0, k + 5).tolist() == x[:, : k + 5].tolist()
+    assert w.written(7, 9).tolist() == x[:, 7:16].tolist() and w.written(18, 3).shape[1] == 0
+    w.trigger(2, "t")
+    w.info(subject_name="N")
+    w.flush()
+    del w  # no close
+    r = api.Recording(spark, path, layout="parts")
+    assert (r.sample_count, r.epoch_count, r.info["subject_name"], r.triggers().count()) == (18, 3, "N", 1)
+    assert [list(c)[1:] for c in r.column_major_int32(0, 18).collect()] == x[:, :18].T.tolist()
+    assert r.signal().where("epoch > 7").count() == 0
+    with open(container.part_path(path, "ep"), "rb") as f:
+        assert len(f.read()) == container.PART_HEADER + 4 * 4
+
+
+def test_closed_writer_removes_its_parts(spark, tmp_path):
+    path = f"{tmp_path}/w.cnt"
+    w = api.RecordingWriter(spark, path)
+    w.param(series(2, 4))
+    w.column_major_int32(np.arange(12).reshape(6, 2))
+    w.close()
+    assert [p.name for p in tmp_path.iterdir()] == ["w.cnt"]
+    assert api.Recording(spark, path).sample_count == 6
+
+
+def test_dates_of_birth():
+    day = 86_400_000_000
+    assert container.parse_birth("") == container.parse_birth("x") == container.parse_birth("0 0 0 31 1 80") == 0
+    assert container.parse_birth("60 0 0 2 0 70") == day + 60_000_000
+    assert container.parse_birth("5 4") == 245_000_000
+    assert container.parse_birth("0 0 0 2 0 70 5 1 0") == day
+

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tracelake import schema
 from tracelake.errors import BugError, DataError, LimitError
-from tracelake.functions import dates, text
+from tracelake.functions import codec, dates, text
 from tracelake.operators import codec as codecs
 from tracelake.operators import events as event_ops
 from tracelake.operators import signal as signals
@@ -221,17 +221,20 @@ class Recording:
                 left -= len(block)
 
 
+def header_of(series: TimeSeries, kind: str = "RIFF") -> container.Header:
+    if kind not in container.KINDS:
+        raise LimitError(f"unknown kind {kind}")
+    return container.Header(
+        kind=kind, start=dates.micros_of(series.start_time), sampling_frequency=series.sampling_frequency, epoch_length=series.epoch_length, electrodes=series.electrodes, order=list(range(len(series.electrodes)))
+    )
+
+
 def write_epochs(epochs: DataFrame, path: str, series: TimeSeries, kind: str = "RIFF", info: dict | None = None, history: str = "", triggers: list[tuple[int, str]] = (), embed: list[tuple[str, str]] = ()) -> None:
     """Write encoded epochs (epoch, length, data) as a recording.  Tasks write, the driver joins
     their files; without epochs there is no file."""
     register(epochs.sparkSession)
-    if kind not in container.KINDS:
-        raise LimitError(f"unknown kind {kind}")
-    series.check()
-    h = container.Header(
-        kind=kind, start=dates.micros_of(series.start_time), sampling_frequency=series.sampling_frequency, epoch_length=series.epoch_length, electrodes=series.electrodes,
-        order=list(range(len(series.electrodes))), info=info or {}, history=history, triggers=list(triggers),
-    )
+    h = header_of(series.check(), kind)
+    h.info, h.history, h.triggers = info or {}, history, list(triggers)
     ready = epochs.select("epoch", F.col("length").cast("long").alias("length"), "data")
     ready.write.format("cnt_epochs").option("header", json.dumps(asdict(h))).option("embed", json.dumps(list(embed))).mode("append").save(path)
 
@@ -255,6 +258,35 @@ def write_archive(events: list[dict], path: str, version: int = archive.DEFAULT_
     os.replace(unfinished, plain_path(path))
 
 
+def write_event_table(events: DataFrame, path: str, version: int = archive.DEFAULT_VERSION) -> None:
+    """Write a table of events (see :mod:`tracelake.operators.events`; ``ordinal`` gives the order,
+    from 0 and without gaps) as an archive.  Tasks encode the events, the driver joins them a
+    partition at a time; without events there is no file."""
+    count = events.count()
+    if not count:
+        return
+    fields = ("class", "name", "type", "duration", "duration_offset", "descriptors", "description")
+
+    def coded(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                e = {k: r[k] for k in fields if r[k] is not None}
+                e["descriptors"] = [{**d, "data": list(d["data"])} for d in e.get("descriptors", [])]
+                out.append(archive.event_bytes({**e, "stamp": r["us"], "visible_id": r["ordinal"] + 1}, version))
+            yield pd.DataFrame({"ordinal": pdf["ordinal"], "data": out})
+
+    rows = events.select("ordinal", F.unix_micros(F.col("stamp").cast("timestamp")).alias("us"), *fields).mapInPandas(coded, "ordinal long, data binary")
+    unfinished = f"{plain_path(path)}.unfinished"
+    with open(unfinished, "wb") as f:
+        f.write(archive.archive_head(version, "", count))
+        for r in rows.orderBy("ordinal").toLocalIterator():
+            f.write(r["data"])
+    os.replace(unfinished, plain_path(path))
+
+
 class EventWriter:
     """Collects events for an archive; :meth:`close` writes it.
 
@@ -308,8 +340,10 @@ class RecordingWriter:
     """Builds a recording: set up, append samples in any layout, close.
 
     Setup takes series, info, history and embedded files; the first samples end it.  Samples are
-    numpy arrays (small pieces) or signal tables numbered from 0.  Closing writes the container and
-    the event archive; a writer without samples leaves no file.
+    numpy arrays (small pieces) or signal tables numbered from 0.  Arrays go to part files beside
+    the target an epoch at a time, so the driver holds less than one epoch, and a crash leaves what
+    was flushed.  Closing puts the parts together and writes the event archive; a writer without
+    samples leaves no file.
     """
 
     def __init__(self, spark: SparkSession, path: str, kind: str = "RIFF"):
@@ -320,7 +354,8 @@ class RecordingWriter:
         self._embedded: list[tuple[str, str]] = []
         self._triggers: list[tuple[int, str]] = []
         self._pieces: list[DataFrame] = []
-        self._rows: list[np.ndarray] = []
+        self._parts: container.PartWriter | None = None
+        self._tail = np.zeros((0, 0), np.int32)  # samples after the last whole epoch
         self.sample_count = 0
         self.events = EventWriter(archive.archive_path(path))
 
@@ -362,17 +397,39 @@ class RecordingWriter:
             self.trigger(sample, code)
 
     def _append(self, x: np.ndarray) -> None:
-        """``x`` [sensor, sample] of int32."""
+        """``x`` [sensor, sample] of int32: whole epochs go to the part files at once."""
         self._in("setup", "writing")
         if self.series is None:
             raise BugError("no time series")
         if self._pieces:
             raise BugError("arrays can't follow tables")
+        n = self.series.epoch_length
         if x.ndim != 2 or x.shape[0] != len(self.series.electrodes):
             raise LimitError(f"{x.shape} for {len(self.series.electrodes)} electrodes")
+        if self._parts is None:
+            self._parts = container.PartWriter(plain_path(self.path), self._described())
+            self._tail = x[:, :0]
         self.phase = "writing"
-        self._rows.append(x)
         self.sample_count += x.shape[1]
+        self._tail = np.concatenate([self._tail, x], axis=1)
+        whole = self._tail.shape[1] // n * n
+        for at in range(0, whole, n):
+            self._parts.append(codec.encode_matrix(np.ascontiguousarray(self._tail[:, at : at + n])), n)
+        self._tail = self._tail[:, whole:]
+
+    def _described(self) -> container.Header:
+        """Header as set so far; the one of the part files, once there are any."""
+        h = self._parts.h if self._parts is not None else header_of(self.series, self.kind)
+        h.info, h.history, h.triggers = self._info, self._history, list(self._triggers)
+        return h
+
+    def flush(self) -> None:
+        """Make durable what was appended: ``Recording(path, layout="parts")`` reads it, up to the
+        last whole epoch, also after a crash."""
+        self._in("setup", "writing")
+        if self._parts is not None:
+            self._described()
+            self._parts.flush()
 
     def _shaped(self, x, order: str) -> np.ndarray:
         if self.series is None:
@@ -411,7 +468,7 @@ class RecordingWriter:
     def signal(self, df: DataFrame, scaled: bool = False) -> None:
         """A signal table of its own samples 0, 1, ...; it follows what was appended before."""
         self._in("setup", "writing")
-        if self.series is None or self._rows or self._pieces:
+        if self.series is None or self._parts is not None or self._pieces:
             raise BugError("one signal table, after the time series and without arrays")
         self.phase = "writing"
         if scaled:
@@ -425,23 +482,28 @@ class RecordingWriter:
 
     def written(self, first: int, amount: int) -> np.ndarray:
         """Read back appended arrays: int32 [sensor, sample]; empty if the range isn't there."""
-        x = np.concatenate(self._rows, axis=1) if self._rows else np.zeros((0, 0), np.int32)
-        return x[:, first : first + amount] if 0 <= first and amount > 0 and first + amount <= x.shape[1] else x[:, :0]
+        sensors = len(self.series.electrodes) if self.series else 0
+        if self._parts is None or first < 0 or amount < 1 or first + amount > self.sample_count:
+            return np.zeros((sensors, 0), np.int32)
+        n, whole = self.series.epoch_length, self.committed()
+        parts = [codec.decode_matrix(self._parts.epoch(i), sensors, n) for i in range(first // n, min(-(-(first + amount) // n), whole // n))]
+        start = min(first // n * n, whole)
+        return np.concatenate([*parts, self._tail], axis=1)[:, first - start : first - start + amount]
 
     def close(self) -> None:
         if self.phase == "closed":
             return
         self.phase = "closed"
         self.events.close()
-        more = {"kind": self.kind, "info": self._info, "history": self._history, "triggers": self._triggers, "embed": self._embedded}
         if self._pieces:
-            write_recording(self._pieces[0], self.path, self.series, **more)
-        elif self.sample_count:
-            x, n = np.concatenate(self._rows, axis=1), self.series.epoch_length
-            parts = [(i, x[:, at : at + n].tolist()) for i, at in enumerate(range(0, x.shape[1], n))]
-            df = self.spark.createDataFrame(parts, "epoch long, rows array<array<int>>")
-            epochs = df.select("epoch", F.size(F.col("rows")[0]).cast("long").alias("length"), codecs.encoded(F.col("rows")).alias("data"))
-            write_epochs(epochs, self.path, self.series, **more)
+            write_recording(self._pieces[0], self.path, self.series, kind=self.kind, info=self._info, history=self._history, triggers=self._triggers, embed=self._embedded)
+        elif self._parts is not None and not self.sample_count:
+            self._parts.remove()
+        elif self._parts is not None:
+            if self._tail.shape[1]:
+                self._parts.append(codec.encode_matrix(np.ascontiguousarray(self._tail)), self._tail.shape[1])
+            self._described()
+            self._parts.finish(self._embedded)
 
     def __enter__(self) -> RecordingWriter:
         return self

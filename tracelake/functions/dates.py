@@ -80,3 +80,45 @@ def valid_civil_time(year: Column, month: Column, day: Column, hour: Column, min
     """True if the numbers name a time of the calendar (seconds up to 60); null counts as false."""
     last = F.day(F.last_day(F.try_make_timestamp(year, month, F.lit(1), F.lit(0), F.lit(0), F.lit(0.0))))
     return F.coalesce(month.between(1, 12) & day.between(1, last) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 60), F.lit(False))
+
+
+def micros_of_civil(year: int, month: int, day: int, hour: int = 0, minute: int = 0, second: int = 0) -> int:
+    """Microseconds since 1970 of a time of the calendar; second 60 is the next minute's first.  A
+    limit error for what is none, or beyond the clock."""
+    try:
+        if not 0 <= second <= 60:
+            raise ValueError(f"second {second}")
+        us = micros_of(datetime(year, month, day, hour, minute)) + second * 1_000_000
+    except ValueError as e:
+        raise LimitError(f"no time of the calendar: {e}") from None
+    if abs(us) >= CLOCK_SECONDS * 1_000_000:
+        raise LimitError(f"year {year} is beyond the clock")
+    return us
+
+
+def civil_of(t: Column) -> Column:
+    """year, month, day, hour, minute, second of a timestamp (UTC); seconds are rounded down."""
+    us = F.unix_micros(t.cast("timestamp"))
+    seconds = F.floor(us / 1_000_000).cast("long")
+    date = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / DAY).cast("int"))
+    rest = F.pmod(seconds, F.lit(DAY)).cast("int")
+    parts = {"year": F.year(date), "month": F.month(date), "day": F.day(date), "hour": rest / 3600, "minute": rest % 3600 / 60, "second": rest % 60}
+    return F.struct(*[F.floor(v).cast("int").alias(k) for k, v in parts.items()])
+
+
+def timestamp_of_civil(year: Column, month: Column, day: Column, hour: Column, minute: Column, second: Column) -> Column:
+    """Timestamp (UTC) of a time of the calendar; null for what is none.  Second 60 is the next
+    minute's first."""
+    date = F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0.0))
+    days = F.datediff(date, F.lit("1970-01-01").cast("date")).cast("long")
+    us = (((days * 24 + hour) * 60 + minute) * 60 + second) * 1_000_000
+    return F.when(valid_civil_time(year, month, day, hour, minute, second), F.timestamp_micros(us))
+
+
+def as_text(t: Column) -> Column:
+    """A timestamp as ``2024-01-31 12:34:56:000123456000``: date, time, and nanoseconds in twelve
+    digits (UTC)."""
+    c = civil_of(t)
+    part = F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(1_000_000)) * 1000
+    form = lambda n, *xs: F.format_string(n, *xs)
+    return form("%04d-%02d-%02d %02d:%02d:%02d:%012d", *[c[k] for k in ("year", "month", "day", "hour", "minute", "second")], part)

@@ -39,21 +39,21 @@ def decode(data: bytes, at: int = 0, signed: bool = True, bits: int = 64) -> tup
     raise DataError("LEB128 number has no end")
 
 
-def leb128(x: Column) -> Column:
-    """Signed LEB128 bytes of a long column; null for null."""
+def leb128(x: Column, signed: bool = True) -> Column:
+    """LEB128 bytes of a long column; null for null.  Unsigned: negative numbers are data errors."""
 
     @F.pandas_udf("binary")
     def run(numbers: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(v) else encode(int(v)) for v in numbers], dtype=object)
+        return pd.Series([None if pd.isna(v) else encode(int(v), signed) for v in numbers], dtype=object)
 
     return run(x)
 
 
-def unleb128(x: Column) -> Column:
-    """The signed number at the start of a binary column; null for null."""
+def unleb128(x: Column, signed: bool = True) -> Column:
+    """The number at the start of a binary column; null for null."""
 
     @F.pandas_udf("long")
     def run(raw: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else decode(v)[0] for v in raw], dtype="Int64")
+        return pd.Series([None if v is None else decode(v, signed=signed, bits=64 if signed else 63)[0] for v in raw], dtype="Int64")
 
     return run(x)

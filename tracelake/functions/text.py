@@ -115,14 +115,22 @@ def parse_electrodes(rows: list[str], old: bool = False) -> list[dict]:
 # Columns
 
 
+def first_bytes(s: Column, n: int) -> Column:
+    """The first ``n`` bytes of a text, without a character that they cut."""
+    raw = F.substring(F.encode(s, "UTF-8"), 1, n)
+    ends = [F.substring(raw, 1, F.octet_length(raw) - k) for k in range(4)]
+    return F.coalesce(*[F.try_validate_utf8(x.cast("string")) for x in ends])
+
+
 def label4(s: Column) -> Column:
     """Four-byte label: cut, or filled with blanks."""
-    return F.rpad(F.substring(s, 1, 4), 4, " ")
+    own = first_bytes(s, 4)
+    return F.concat(own, F.repeat(F.lit(" "), 4 - F.octet_length(own)))
 
 
 def trigger_code(s: Column) -> Column:
-    """What a trigger keeps of a code: eight characters, up to a NUL."""
-    return F.substring_index(F.substring(s, 1, CODE_BYTES), "\0", 1)
+    """What a trigger keeps of a code: eight bytes, up to a NUL."""
+    return F.substring_index(first_bytes(s, CODE_BYTES), "\0", 1)
 
 
 def sex_char(s: Column) -> Column:
@@ -147,6 +155,17 @@ def plain_unit(s: Column) -> Column:
     return F.regexp_replace(s, "^µ", "u")
 
 
+def plain_unit_bytes(raw: Column) -> Column:
+    """Unit of an old file, from its bytes: a leading B5, the micro sign of one-byte code pages, is u."""
+    rest = F.substring(raw, 2, F.octet_length(raw))
+    return F.when(F.hex(F.substring(raw, 1, 1)) == "B5", F.concat(F.lit("u"), F.decode(rest, "UTF-8"))).otherwise(F.decode(raw, "UTF-8"))
+
+
 def electrode_field(line: Column, mark: str) -> Column:
     """Value of an optional field such as REF: in a line of the channel table; empty if none."""
-    return F.substring(F.regexp_extract(line, rf"\s{mark}(\S+)", 1), 1, STATUS_BYTES)
+    return first_bytes(F.regexp_extract(line, rf"\s{mark}(\S+)", 1), STATUS_BYTES)
+
+
+def narrowed(x: Column, kind: str) -> Column:
+    """A number as a narrower type; null where it doesn't fit."""
+    return x.try_cast(kind)

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.errors import LimitError
+from tracelake.errors import DataError, LimitError
 from tracelake.functions import codec
 from tracelake.operators.signal import epoch_matrices, rows_to_long
 
@@ -47,8 +47,9 @@ def encoded(rows: Column, kind: str = "int32", layout: str = "compatible", order
     return encode(rows)
 
 
-def decoded(data: Column, length: Column, sensors: int, kind: str = "int32", layout: str = "compatible", order: list[int] | None = None, major: str = "row") -> Column:
-    """The matrix of a block with ``length`` samples.  Malformed blocks raise an error."""
+def decoded(data: Column, length: Column, sensors: int, kind: str = "int32", layout: str = "compatible", order: list[int] | None = None, major: str = "row", or_null: bool = False) -> Column:
+    """The matrix of a block with ``length`` samples.  Malformed blocks raise an error, or give null
+    with ``or_null``."""
     (dtype, spark_type), form = TYPES[kind], codec.LAYOUTS[layout]
 
     @F.pandas_udf(f"array<array<{spark_type}>>")
@@ -58,7 +59,13 @@ def decoded(data: Column, length: Column, sensors: int, kind: str = "int32", lay
             if b is None:
                 out.append(None)
                 continue
-            x = _transposed(codec.decode_matrix(b, sensors, int(n), dtype, form, order), major)
+            try:
+                x = _transposed(codec.decode_matrix(b, sensors, int(n), dtype, form, order), major)
+            except DataError:
+                if not or_null:
+                    raise
+                out.append(None)
+                continue
             if kind == "uint64":
                 import decimal
 

@@ -346,23 +346,26 @@ class Encoder:
                 self.field(form, x)
 
 
-def archive_bytes(lib: Library) -> bytes:
-    """Bytes of an archive; ``events`` are written in their order."""
-    if len(lib.events) >= 1 << 32:
+def archive_head(version: int, name: str, count: int) -> bytes:
+    """What stands before the events of an archive."""
+    if count >= 1 << 32:
         raise LimitError("too many events")
-    w = Encoder(lib.version)
+    w = Encoder(version)
     for _ in range(3):
         w.value("<I", 0)
-    for x in (lib.version, 0, 0):
+    for x in (version, 0, 0):
         w.value("<i", x)
     w.class_name(LIBRARY)
-    w.text(lib.name)
-    w.value("<I", len(lib.events))
-    for e in lib.events:
-        w.event(e)
+    w.text(name)
+    w.value("<I", count)
     return bytes(w.out)
 
 
+def archive_bytes(lib: Library) -> bytes:
+    """Bytes of an archive; ``events`` are written in their order."""
+    return archive_head(lib.version, lib.name, len(lib.events)) + b"".join(event_bytes(e, lib.version) for e in lib.events)
+
+
 def _value(kind: str, *data, array: bool = False) -> dict:
     return {"type": kind, "is_array": array, "data": [str(x) for x in data]}
 

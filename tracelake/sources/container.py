@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import io
 import logging
+import os
+import re
 import struct
 from dataclasses import dataclass, field
 from typing import BinaryIO
@@ -218,17 +220,22 @@ def header_text(h: Header) -> str:
     )
 
 
-def parse_birth(line: str) -> int | None:
-    """Microseconds since 1970 of "sec min hour day month-1 year-1900 ..."; None if that is no
-    time or says nothing."""
+def parse_birth(line: str) -> int:
+    """Microseconds since 1970 of "sec min hour day month-1 year-1900 ...".  Fields that are missing
+    are those of 1970-01-01 00:00:00, which also stands for what is no time of the calendar."""
+    fields = [0, 0, 0, 1, 0, 70]
+    for k, x in enumerate(line.split()[:6]):
+        whole = re.match(r"[+-]?[0-9]+", x)
+        fields[k] = int(whole[0]) if whole else 0
+        if not whole or whole[0] != x:
+            log.warning("date of birth %r is incomplete", line)
+            break
+    sec, minute, hour, day, month, year = fields
     try:
-        sec, minute, hour, day, month, year = (int(x) for x in line.split()[:6])
-        from datetime import datetime
-
-        return dates.micros_of(datetime(year + 1900, month + 1, day, hour, minute, min(sec, 59)))
-    except ValueError:
-        log.warning("date of birth %r left out", line)
-        return None
+        return dates.micros_of_civil(year + 1900, month + 1, day, hour, minute, sec)
+    except LimitError:
+        log.warning("date of birth %r is none", line)
+        return 0
 
 
 def parse_info(raw: str) -> tuple[float, float, dict, bool]:
@@ -489,22 +496,92 @@ def container_bytes(h: Header, epochs: list[bytes], embedded: list[tuple[str, st
     return out.getvalue()
 
 
+class PartWriter:
+    """The ten part files of a recording under construction, an epoch at a time.
+
+    Of each epoch the data go first, then its place, then the number of samples so far, so what a
+    crash leaves can be read up to the last whole epoch.  :meth:`flush` makes all of it durable.
+    """
+
+    def __init__(self, path: str, h: Header):
+        self.path, self.h, self.at, self.samples = path, h, 0, 0
+        self.offsets: list[int] = []
+        self.width = KINDS[h.kind][0]
+        self.files: dict[str, BinaryIO] = {}
+        for part in ("data", "ep", "sample_count"):
+            self.files[part] = open(part_path(path, part), "wb")  # noqa: SIM115
+            self.files[part].write(part_header(part))
+        self.files["ep"].write(struct.pack(self.width, h.epoch_length))
+        self.replace("chan", np.arange(len(h.electrodes), dtype="<i2").tobytes())
+        self.replace("electrodes", pack_electrodes(h.electrodes))
+        self.replace("sampling_frequency", struct.pack("<d", h.sampling_frequency))
+        self.replace("cnt_type", h.kind.encode())
+        self.describe()
+
+    def replace(self, part: str, raw: bytes) -> None:
+        name = part_path(self.path, part)
+        with open(f"{name}.new", "wb") as f:
+            f.write(part_header(part) + raw)
+        os.replace(f"{name}.new", name)
+
+    def describe(self) -> None:
+        """Write info, history and triggers as the header has them now."""
+        self.replace("triggers", pack_triggers(self.h.triggers, self.h.kind))
+        self.replace("info", info_text(self.h.start, self.h.info).encode())
+        self.replace("history", self.h.history.encode())
+
+    def append(self, raw: bytes, samples: int) -> None:
+        if self.samples % self.h.epoch_length:
+            raise BugError("only the last epoch may be short")
+        try:
+            place = struct.pack(self.width, self.at)
+        except struct.error:
+            raise LimitError("data too large for this kind of file") from None
+        self.files["data"].write(raw)
+        self.files["ep"].write(place)
+        self.samples += samples
+        self.files["sample_count"].write(struct.pack("<q", self.samples))
+        self.offsets.append(self.at)
+        self.at += len(raw)
+
+    def epoch(self, i: int) -> bytes:
+        """Bytes of an epoch that was appended."""
+        self.files["data"].flush()
+        end = self.offsets[i + 1] if i + 1 < len(self.offsets) else self.at
+        with open(part_path(self.path, "data"), "rb") as f:
+            return _at(f, PART_HEADER + self.offsets[i], end - self.offsets[i])
+
+    def flush(self) -> None:
+        self.describe()
+        for part in ("data", "ep", "sample_count"):
+            self.files[part].flush()
+            os.fsync(self.files[part].fileno())
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+
+    def remove(self) -> None:
+        self.close()
+        for part in PARTS:
+            if os.path.exists(part_path(self.path, part)):
+                os.remove(part_path(self.path, part))
+
+    def finish(self, embedded: list[tuple[str, str]] = ()) -> None:
+        """Copy the parts into a container at ``path``, and remove them."""
+        self.close()
+        self.h.sample_count = self.samples
+        unfinished = f"{self.path}.unfinished"
+        with open(unfinished, "wb") as f, open(part_path(self.path, "data"), "rb") as data:
+            data.seek(PART_HEADER)
+            write_container(f, self.h, np.diff([*self.offsets, self.at]).tolist(), [data], embedded, self.path)
+        os.replace(unfinished, self.path)
+        self.remove()
+
+
 def write_parts(path: str, h: Header, epochs: list[bytes]) -> None:
     """The ten part files of a recording under construction."""
-    offsets = np.concatenate(([h.epoch_length], np.cumsum([0, *[len(e) for e in epochs[:-1]]])))
-    counts = np.minimum(np.arange(1, len(epochs) + 1) * h.epoch_length, h.sample_count)
-    content = {
-        "data": b"".join(epochs),
-        "ep": offsets.astype("<u4" if h.kind == "RIFF" else "<u8").tobytes(),
-        "chan": np.arange(len(h.electrodes), dtype="<i2").tobytes(),
-        "sample_count": counts.astype("<i8").tobytes(),
-        "electrodes": pack_electrodes(h.electrodes),
-        "sampling_frequency": struct.pack("<d", h.sampling_frequency),
-        "triggers": pack_triggers(h.triggers, h.kind),
-        "info": info_text(h.start, h.info).encode(),
-        "cnt_type": h.kind.encode(),
-        "history": h.history.encode(),
-    }
-    for part, raw in content.items():
-        with open(part_path(path, part), "wb") as f:
-            f.write(part_header(part) + raw)
+    w = PartWriter(path, h)
+    for i, raw in enumerate(epochs):
+        w.append(raw, min(h.epoch_length, h.sample_count - i * h.epoch_length))
+    w.close()

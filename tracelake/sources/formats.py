@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +44,18 @@ PARTITION_VALUES = 8_000_000
 
 @dataclass
 class Epochs(InputPartition):
+    """Epochs ``first`` to ``last`` (exclusive), with their places in the file ``data`` and what of the
+    header decoding needs: tasks don't read the header again."""
+
     first: int
-    last: int  # exclusive
+    last: int
+    data: str
+    header: container.Header
 
-    def __init__(self, first: int, last: int):
+    def __init__(self, first: int, last: int, data: str, header: container.Header):
         super().__init__((first, last))
-        self.first, self.last = first, last
+        self.first, self.last, self.data = first, last, data
+        self.header = replace(header, ranges=header.ranges[first:last], electrodes=[{}] * len(header.electrodes), info={}, history="", triggers=[], embedded=[])
 
 
 class RecordingSource(DataSource):
@@ -93,11 +99,11 @@ class RecordingReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.table not in ("signal", "epochs"):
             return [InputPartition(0)]
-        h, _ = container.load(self.path, self.layout)
+        h, data = container.load(self.path, self.layout)
         first = max(self.bounds["epoch"][0], self.bounds["sample"][0] // h.epoch_length)
         last = min(self.bounds["epoch"][1], self.bounds["sample"][1] // h.epoch_length, h.epochs - 1) + 1
         step = self.per_partition or max(1, PARTITION_VALUES // max(1, h.epoch_length * len(h.electrodes)))
-        return [Epochs(i, min(i + step, last)) for i in range(first, last, step)]
+        return [Epochs(i, min(i + step, last), data, h) for i in range(first, last, step)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         if self.table == "chunks":
@@ -105,7 +111,10 @@ class RecordingReader(DataSourceReader):
                 rows = [asdict(c) for c in container.chunks(f)[1]]
             yield from _batch(rows, "id label path fpos payload size")
             return
-        h, data = container.load(self.path, self.layout)
+        if self.table in ("signal", "epochs"):
+            yield from self.epochs(partition)
+            return
+        h, _ = container.load(self.path, self.layout)
         if self.table == "header":
             yield header_row(h)
         elif self.table == "electrodes":
@@ -116,14 +125,18 @@ class RecordingReader(DataSourceReader):
             with open_file(self.path) as f:
                 for label, place, size in h.embedded:
                     yield from _batch([{"label": label, "size": size, "content": container._at(f, place, size)}], "label size content")
-        else:
-            with open_file(data) as f:
-                for i in range(partition.first, partition.last):
-                    raw = container._at(f, *h.ranges[i])
-                    if self.table == "epochs":
-                        yield pa.RecordBatch.from_pydict({"epoch": [i], "length": [h.epoch_samples(i)], "data": pa.array([raw], pa.binary())})
-                    else:
-                        yield self.decoded(h, i, raw)
+
+    def epochs(self, partition: Epochs | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no epoch is wanted
+            return
+        h = partition.header
+        with open_file(partition.data) as f:
+            for i, place in enumerate(h.ranges, partition.first):
+                raw = container._at(f, *place)
+                if self.table == "epochs":
+                    yield pa.RecordBatch.from_pydict({"epoch": [i], "length": [h.epoch_samples(i)], "data": pa.array([raw], pa.binary())})
+                else:
+                    yield self.decoded(h, i, raw)
 
     def decoded(self, h: container.Header, i: int, raw: bytes) -> pa.RecordBatch:
         n, length = len(h.electrodes), h.epoch_samples(i)
@@ -223,7 +236,7 @@ class EpochWriter(DataSourceWriter):
         name = f"{self.staging}/{uuid.uuid4().hex}"  # a rerun task has a file of its own
         done = []
         with open(name, "wb") as f:
-            for epoch, length, data in sorted(rows, key=lambda r: r[0]):
+            for epoch, length, data in rows:  # in any order: the commit puts them in theirs
                 f.write(data)
                 done.append((epoch, length, len(data)))
         return Written(name, done)

@@ -62,3 +62,64 @@ def test_query(spark):
 def test_names_that_hold_a_furniture_word_stay():
     page = "<body><div class='content has-sidebar'><article><h2 id='search-engines'>Engines</h2><p class='notice'>Mind this.</p><section id='related-work'><h2>Related</h2><p>Others did it.</p></section><div class='comments'><p>nice</p></div></article></div></body>"
     assert html_text.extract(page) == "Engines\nMind this.\nRelated\nOthers did it."
+
+
+def plain_importance(pages, weight=html_text.CONTENT_WEIGHT):
+    """Importance of each path of one host, from the rows of its pages and the definition."""
+    import math
+    from collections import Counter, defaultdict
+
+    seen = defaultdict(set)
+    for x in pages:
+        for path, content, presentation, page, _ in html_text.nodes(x):
+            seen[path, "content"].add((page, content))
+            seen[path, "presentation"].add((page, presentation))
+
+    def entropy(rows):
+        n = len(rows)
+        counts = Counter(sig for _, sig in rows)
+        return 1.0 if n < 2 else -sum(c / n * math.log(c / n, n) for c in counts.values())
+
+    return {path: (len(seen[path, "content"]), weight * entropy(seen[path, "content"]) + (1 - weight) * entropy(seen[path, "presentation"])) for path, kind in seen if kind == "content"}
+
+
+def site(k, extra=""):
+    side = f"<div class='x{k % 3}'><p>{'Old' if k % 3 else 'New'} box</p></div>"
+    return f"<html><body><div class='top'><p>Welcome to the site.</p></div>{side}<div class='text'><h1>Title {k}</h1><p>Own words {k} of page {k}.</p><div class='notice'><p>Take care with item {k}.</p></div></div>{extra}</body></html>"
+
+
+def test_tree_against_its_definition(spark):
+    pages = [site(k) for k in range(14)] + [site(3)]
+    df = spark.createDataFrame([(k, "http://a.example/", x) for k, x in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["path"]: (r["pages"], r["importance"]) for r in html_text.style_tree(df).collect()}
+    want = {path: x for path, x in plain_importance(pages).items() if x[0] >= html_text.MIN_PAGES}
+    assert got.keys() == want.keys() and len(got) >= 6
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+
+
+def test_tree_decides(spark):
+    df = spark.createDataFrame([(k, "http://a.example/", site(k)) for k in range(14)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    assert got[4] == "Title 4\nOwn words 4 of page 4.\nTake care with item 4."  # same on all pages: gone; a notice of its own: kept
+    assert html_text.extract(site(4)) == "Welcome to the site.\nOld box\nTitle 4\nOwn words 4 of page 4."  # without the tree
+    same = [(k, "http://b.example/", site(k).replace(f"item {k}", "it")) for k in range(14)]
+    got = html_text.extract_text(spark.createDataFrame(same, "page_id long, url string, html string")).collect()
+    assert not any("Take care" in r["text"] for r in got)
+
+
+def test_tree_of_the_pages_has_nodes(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert html_text.style_tree(pages).count() > 30
+
+
+def test_names_inside_an_article():
+    page = '<article><h1>T</h1><p class="notice">real paragraph</p><div class="search-results"><p>found text</p></div><p class="form">body</p><p>ok</p><div class="ad">buy</div></article>'
+    assert html_text.extract(page) == "T\nreal paragraph\nfound text\nbody\nok"
+
+
+def test_deep_and_clashing(spark):
+    deep = "<div>" * 3000 + "<p>down there</p>" + "</div>" * 3000
+    assert html_text.extract(deep) == "down there" and len(html_text.nodes(deep)) == 3001
+    df = spark.createDataFrame([(1, "http://a/", "<p>x</p>", "h", 5)], "page_id long, url string, html string, _host string, _low long")
+    r = html_text.extract_text(df).first()
+    assert (r["text"], r["_host"], r["_low"]) == ("x", "h", 5)

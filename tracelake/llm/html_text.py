@@ -7,10 +7,11 @@ and of its content (text below it), each divided by its largest possible value:
 say the same on every page and score near 0, articles near 1.  Branches of low importance are
 removed from each page.
 
-Only styles that say nothing by themselves (div, section, list, table, ...) need the tree; elements
-made for page furniture (nav, footer, form, script, ...), or named so, have importance 0, and
-paragraphs and headings 1.  With an article or main element the text is what is left inside it,
-else what is left of the page.
+The tree judges all blocks, paragraphs and list items too.  Elements made for page furniture (nav,
+footer, form, script, ...), or named so without doubt (ad, sidebar, comments, ...), have importance 0
+a priori.  Names that may as well be those of content (notice, search, related, ...) are a prior only:
+such a branch goes unless the tree finds it important.  With an article or main element the text
+is what is left inside it, else what is left of the page; paragraphs and headings inside it stay.
 
 Distribution: pages are never grouped by host.  Each page yields a few small rows (host, path,
 signature); they are counted by Spark with partial sums, so a hot host is spread over all tasks
@@ -30,12 +31,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import cut, each, fresh
+
 #: A node is judged if at least this many different pages of the host have it.
 MIN_PAGES = 5
 #: Share of content in the composite importance; the rest is presentation.
 CONTENT_WEIGHT = 0.9
 #: Branches below this importance go.
 THRESHOLD = 0.2
+#: Branches with a doubtful name stay from this importance on.
+RESCUE = 0.9
 #: Low branches in all, up to which they are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -57,16 +62,18 @@ CELLS = _words("br td th")
 SAID = _words("p h1 h2 h3 h4 h5 h6 b i em strong span a")
 #: Page furniture by element.
 FURNITURE = _words("nav footer aside form script style noscript template iframe svg canvas button select option textarea dialog menu head title object audio video")
-#: Page furniture by a whole name in class, id or role; the second list only outside an article.
+#: Page furniture by a whole name in class, id or role; the last list only outside an article.
 #: Names that only hold such a word say nothing: the tree judges them.
 FURNITURE_WORDS = _words(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer contentinfo sidebar complementary widget ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended comment comments disqus reply replies respond form search pagination pager copyright toolbar skip hidden"
+    "nav navbar navigation menubar breadcrumb breadcrumbs footer contentinfo sidebar complementary ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr popup modal newsletter signup login comments disqus pagination pager copyright toolbar"
 )
+#: Names that are furniture's as a rule, but may be content's.
+MAYBE_WORDS = _words("menu widget promo promotion notice notices alert overlay subscribe subscription share sharing social related recommended comment reply replies respond form search skip hidden")
 OUTER_WORDS = _words("header banner masthead")
 #: Elements that are never furniture by name.
 UNNAMED = _words("html body article main p h1 h2 h3 h4 h5 h6")
-#: Elements that hold text by themselves; the others are judged by the tree.
-TEXT = _words("html body article main header p h1 h2 h3 h4 h5 h6 pre blockquote b i em strong a span u s small sub sup code br hr img mark q cite abbr time tbody thead tr td th li dt dd font center figure figcaption")
+#: Elements that the tree does not judge: those around all text, and those inside a line.
+UNJUDGED = _words("html body article main header")
 _NONE: frozenset[str] = frozenset()
 _P = _words("p")
 CLOSES = {"li": _words("li"), "dt": _words("dt dd"), "dd": _words("dt dd"), "tr": _words("tr td th"), "td": _words("td th"), "th": _words("td th"), "option": _words("option")}
@@ -77,16 +84,23 @@ def _hash(text: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "path", "state", "main", "judged", "texts", "shape")
+    """``state``: of the branch; ``doubt``: whether its own name is a doubtful one; ``said``: a hash of
+    all text below, in order."""
+
+    __slots__ = ("tag", "path", "state", "doubt", "main", "judged", "said", "shape")
 
-    def __init__(self, tag: str, path: int, state: int, main: bool, judged: bool):
-        self.tag, self.path, self.state, self.main, self.judged = tag, path, state, main, judged
-        self.texts: list[str] = []
+    def __init__(self, tag: str, path: int, state: int, doubt: bool, main: bool, judged: bool):
+        self.tag, self.path, self.state, self.doubt, self.main, self.judged = tag, path, state, doubt, main, judged
+        self.said = 0
         self.shape: list[str] = []
 
+    def add(self, said: int) -> None:
+        self.said = (self.said * 0x9E3779B97F4A7C15 + said) & _MASK
+
 
-#: States of a branch: kept, or furniture by its element or name.
-KEPT, GONE = 0, 1
+_MASK = (1 << 64) - 1
+#: States of a branch: kept, furniture by its element or name, or perhaps so by its name.
+KEPT, GONE, MAYBE = 0, 1, 2
 
 
 def _style(tag: str, attrs: str, inside: bool) -> tuple[str, int]:
@@ -102,6 +116,8 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, int]:
             own = set(value.lower().split())
             if tag not in UNNAMED and (own & FURNITURE_WORDS or not inside and own & OUTER_WORDS) or tag == "article" and own & {"comment", "comments", "reply"}:
                 state = GONE
+            elif state == KEPT and tag not in UNNAMED and own & MAYBE_WORDS:
+                state = MAYBE
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             state = GONE
     return ("|".join([tag, *sorted(names)]) if names else tag), state
@@ -110,7 +126,7 @@ def _style(tag: str, attrs: str, inside: bool) -> tuple[str, int]:
 def walk(page: str) -> Iterator[tuple[str, Node | None, str]]:
     """Events of a page: ("open" or "close", node, ""), ("text", node, text), ("break", node, "").
     Unclosed elements end with the page; end tags without a start count for nothing."""
-    stack = [Node("", 0, KEPT, False, False)]
+    stack = [Node("", 0, KEPT, False, False, False)]
     paths: dict[tuple[int, str], int] = {}
 
     def close(k: int) -> Iterator[tuple[str, Node | None, str]]:
@@ -153,7 +169,8 @@ def walk(page: str) -> Iterator[tuple[str, Node | None, str]]:
         key = (top.path, style)
         if key not in paths:
             paths[key] = _hash(f"{top.path}/{style}")
-        node = Node(tag, paths[key], state or top.state, top.main or tag in ("article", "main") or "role=main" in style, tag not in TEXT)
+        gone = GONE if GONE in (state, top.state) else KEPT
+        node = Node(tag, paths[key], gone, state == MAYBE, top.main or tag in ("article", "main") or "role=main" in style, tag in BLOCKS and tag not in UNJUDGED)
         top.shape.append(style)
         stack.append(node)
         yield "open", node, ""
@@ -166,8 +183,9 @@ def _flat(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """Text of a page without furniture and without the branches in ``low``."""
+def extract(page: str | None, low: frozenset[int] = frozenset(), high: frozenset[int] = frozenset()) -> str:
+    """Text of a page without furniture, without the branches in ``low``, and without those that have
+    a doubtful name and are not in ``high``."""
     blocks: list[tuple[bool, str]] = []
     parts: list[str] = []
     main = False
@@ -187,7 +205,7 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
             continue
         if cut and kind == "break":
             continue
-        gone = kind != "break" and (node.state == GONE or node.path in low)
+        gone = kind != "break" and (node.state == GONE or node.path in low and not (node.main and node.tag in UNNAMED) or node.doubt and node.path not in high)
         if kind == "break" or node.tag in BLOCKS:
             if not cut:
                 flush()
@@ -204,36 +222,35 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
     return "\n".join(x for _, x in blocks)
 
 
-def nodes(page: str | None) -> list[tuple[int, int, int, int]]:
-    """Rows of a page for the style tree: (path, content, presentation, page).  ``page`` is a hash
-    of the text in paragraphs and headings, so that copies of an article are the same page."""
-    rows: dict[int, list[int]] = {}
-    judged: list[Node] = []  # open ones
+def nodes(page: str | None) -> list[tuple[int, int, int, int, bool]]:
+    """Rows of a page for the style tree: (path, content, presentation, page, doubt).  ``page`` is a
+    hash of the text in paragraphs and headings, so that copies of an article are the same page;
+    nodes of one path are one.  Each text is hashed once, however deep it lies."""
+    rows: dict[int, list] = {}
+    stack: list[Node] = []  # open ones
     said: list[str] = []
     for kind, node, text in walk(page or ""):
         if kind == "text":
-            if node.state == KEPT:
+            flat = text.strip() and node.state == KEPT and " ".join(text.split())
+            if flat:
                 if node.tag in SAID:
-                    said.append(text)
-                for x in judged:
-                    x.texts.append(text)
-        elif kind != "break" and node.judged and node.state == KEPT:
-            if kind == "open":
-                judged.append(node)
-                continue
-            judged.remove(node)
-            own = rows.setdefault(node.path, [0, 0])
-            own[0] += _hash(_flat(node.texts))
-            own[1] += _hash(" ".join(dict.fromkeys(node.shape)))
-        elif node.tag in BLOCKS:
-            for x in judged:
-                x.texts.append(" ")
+                    said.append(flat)
+                node.add(_hash(flat) & _MASK)
+        elif kind == "open":
+            stack.append(node)
+        elif kind == "close":
+            stack.pop()
+            if stack and node.state == KEPT:
+                stack[-1].add(node.said)
+            if node.judged and node.state == KEPT:
+                own = rows.setdefault(node.path, [0, 0, node.doubt])
+                own[0] += node.said
+                own[1] += _hash(" ".join(dict.fromkeys(node.shape)))
     if not rows:
         return []
-    own_page = _hash(_flat(said) or page or "")
-    mask = (1 << 64) - 1
-    signed = lambda x: ((x & mask) ^ (1 << 63)) - (1 << 63)
-    return [(path, signed(a), signed(b), own_page) for path, (a, b) in rows.items()]
+    own_page = _hash(" ".join(said) or page or "")
+    signed = lambda x: ((x & _MASK) ^ (1 << 63)) - (1 << 63)
+    return [(path, signed(a), signed(b), own_page, doubt) for path, (a, b, doubt) in rows.items()]
 
 
 def host_of(url: Column) -> Column:
@@ -242,40 +259,47 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(df: DataFrame, url: str = "url", page: str = "html", min_pages: int = MIN_PAGES, weight: float = CONTENT_WEIGHT) -> DataFrame:
-    """Nodes of all sites' trees that enough pages have: host, path, pages, importance."""
+    """Nodes of all sites' trees that enough pages have: host, path, pages, importance, doubt."""
 
-    def of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(host, *row) for host, x in zip(pdf["host"], pdf["page"], strict=True) for row in nodes(x)]
-            yield pd.DataFrame(rows, columns=["host", "path", "content", "presentation", "page"])
+    def of_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(host, *row) for host, x in zip(pdf["host"], pdf["page"], strict=True) for row in nodes(x)]
+        return pd.DataFrame(rows, columns=["host", "path", "content", "presentation", "page", "doubt"])
 
-    seen = df.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).mapInPandas(of_batches, "host string, path long, content long, presentation long, page long")
-    both = seen.select("host", "path", "page", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("sig")), F.struct(F.lit(1).alias("kind"), F.col("presentation").alias("sig")))))
+    seen = df.select(host_of(F.col(url)).alias("host"), F.col(page).alias("page")).mapInPandas(lambda batches: each(of_batch, batches), "host string, path long, content long, presentation long, page long, doubt boolean")
+    both = seen.select("host", "path", "page", "doubt", F.inline(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("sig")), F.struct(F.lit(1).alias("kind"), F.col("presentation").alias("sig")))))
     once = both.distinct()
-    counts = once.groupBy("host", "path", "kind", "sig").agg(F.count(F.lit(1)).alias("c"))
-    by_kind = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
+    counts = once.groupBy("host", "path", "doubt", "kind", "sig").agg(F.count(F.lit(1)).alias("c"))
+    by_kind = counts.groupBy("host", "path", "doubt", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log2("c")).alias("clogc"))
     entropy = F.when(F.col("pages") > 1, 1 - F.col("clogc") / (F.col("pages") * F.log2("pages"))).otherwise(1.0)
     return (
-        by_kind.groupBy("host", "path")
+        by_kind.groupBy("host", "path", "doubt")
         .agg(F.max("pages").alias("pages"), F.sum(F.when(F.col("kind") == 0, entropy * weight).otherwise(entropy * (1 - weight))).alias("importance"))
         .where(F.col("pages") >= min_pages)
     )
 
 
-def extract_text(df: DataFrame, url: str = "url", page: str = "html", out: str = "text", threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_text(df: DataFrame, url: str = "url", page: str = "html", out: str = "text", threshold: float = THRESHOLD, rescue: float = RESCUE, min_pages: int = MIN_PAGES) -> DataFrame:
     """``df`` with the main text of each page in ``out`` (a column of that name is replaced).
 
     Blocks are joined by one newline; white space inside a block is one space.  Null and empty
-    pages, and pages without main text, get the empty string.  Repeated rows get equal texts.
+    pages, and pages without main text, get the empty string.  Repeated rows get equal texts, an
+    empty table gives an empty one.  Very long and very deep pages are read whole.
     """
-    low = style_tree(df, url, page, min_pages).where(F.col("importance") < threshold).groupBy("host").agg(F.collect_set("path").alias("_low"))
-    low = low.withColumnRenamed("host", "_host")
-    size = low.select(F.sum(F.size("_low") + 1)).first()[0] or 0
-    with_host = df.withColumn("_host", host_of(F.col(url)))
+    host, low, high = fresh("_host", df), fresh("_low", df), fresh("_high", df)
+    judged = style_tree(df, url, page, min_pages)
+    is_low, is_high = F.col("importance") < threshold, F.col("doubt") & (F.col("importance") >= rescue)
+    by_host = judged.where(is_low | is_high).groupBy(F.col("host").alias(host)).agg(F.collect_set(F.when(is_low, F.col("path"))).alias(low), F.collect_set(F.when(~is_low, F.col("path"))).alias(high))
+    by_host = cut(by_host)
+    size = by_host.select(F.sum(F.size(low) + F.size(high) + 1)).first()[0] or 0
+    with_host = df.withColumn(host, host_of(F.col(url)))
+    paths = lambda x: frozenset() if x is None else frozenset(int(p) for p in x)
+
+    def of_batch(batch: tuple[pd.Series, pd.Series, pd.Series]) -> pd.Series:
+        return pd.Series([extract(x, paths(a), paths(b)) for x, a, b in zip(*batch, strict=True)], dtype=object)
 
     @F.pandas_udf("string")
-    def texts(pages: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([extract(x, frozenset() if g is None else frozenset(int(p) for p in g)) for x, g in zip(pages, gone, strict=True)], dtype=object)
+    def texts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        return each(of_batch, batches)
 
-    joined = with_host.join(F.broadcast(low) if size <= BROADCAST_ROWS else low, "_host", "left")
-    return joined.withColumn(out, texts(F.col(page), F.col("_low"))).drop("_host", "_low")
+    joined = with_host.join(F.broadcast(by_host) if size <= BROADCAST_ROWS else by_host, host, "left")
+    return joined.withColumn(out, texts(F.col(page), F.col(low), F.col(high))).drop(host, low, high)

@@ -81,3 +81,24 @@ def test_nearest_of_the_reached(spark, monkeypatch):
         there = sorted({i for t, leaf in reached for i in np.flatnonzero(own[:, t] == leaf)} - {q})
         d = np.sqrt(((x[there] - x[q]) ** 2).sum(axis=1))
         assert len(there) >= 10 and [v for v, _ in got[q]] == [there[j] for j in np.lexsort((there, d))[:10]]
+
+
+def test_exact_and_lengths(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, 6)), rng.normal(size=(40, 3))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, v.tolist()) for k, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = by_query(ann.nearest(df, lambda v: v % 100 == 0, exact=True).collect())
+    assert set(got) == {0, 100, 200, 1000}
+    for q in (0, 100, 200):
+        assert [v for v, _ in got[q]] == [v for v, _ in brute(list(range(300)), x, q)]
+    assert [v for v, _ in got[1000]] == [v for v, _ in brute(list(range(1000, 1040)), y, 0)]
+
+
+def test_clusters_need_a_small_share(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16)) * 10
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))
+    forest = ann.Forest(x, ann.TREES, 6)
+    forest.calibrate(10, ann.RECALL)
+    assert forest.share <= 0.2

@@ -32,12 +32,14 @@ from tracelake.llm.common import cut
 
 TREES = 8
 #: Rows a leaf holds at the planned depth; the depth follows the number of rows.
-LEAF_TARGET = 1024
+LEAF_TARGET = 256
 #: The trees are fitted on at most this many distinct vectors (those with the smallest hash).
 FIT_ROWS = 4096
 #: Rows of a leaf that one task reads together.
 LEAF_ROWS = 8192
-RECALL = 0.97
+RECALL = 0.96
+#: More distinct lengths of vectors than this are an error, as each has a forest of its own.
+MAX_LENGTHS = 64
 _SHARES = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -130,10 +132,10 @@ class Forest:
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Rows that take part: non-null id; a vector that is neither null, empty nor zero and holds
-    neither nulls nor non-finite numbers; repeated rows once."""
+    neither nulls nor non-finite numbers; repeated rows once.  Vectors keep their type."""
     x = F.col(vector)
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    good = df.select(F.col(key).alias("vec_id"), x.cast("array<double>").alias("vector")).where("vec_id is not null and vector is not null")
+    good = df.select(F.col(key).alias("vec_id"), x.alias("vector")).where("vec_id is not null and vector is not null")
     return good.where(F.forall("vector", finite) & F.exists("vector", lambda v: v != 0)).distinct()
 
 
@@ -147,38 +149,49 @@ def nearest(
     leaf_target: int = LEAF_TARGET,
     fit_rows: int = FIT_ROWS,
     recall: float = RECALL,
+    exact: bool = False,
 ) -> DataFrame:
     """The k nearest found for each row where ``is_query`` (a condition on ``vec_id``): query_id,
     rank, vec_id, score (Euclidean distance), nearest first, ties to the smaller id.
 
-    Null, zero and non-finite vectors take no part, nor do vectors whose length is not the most
-    common one.  A query's own id is no candidate.  With fewer than k candidates all are returned;
-    an empty table gives an empty result.
+    Null, zero and non-finite vectors take no part.  A vector's candidates are those of its own
+    length.  A query's own id is no candidate.  With fewer than k candidates all are returned; an
+    empty table gives an empty result.  ``exact`` reaches all rows: one tree of one leaf.
     """
     rows = usable(df, key, vector)
-    common = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if common is None:
-        return df.sparkSession.createDataFrame([], empty)
-    rows = rows.where(F.size("vector") == common["n"])
+    lengths = [r["n"] for r in rows.select(F.size("vector").alias("n")).distinct().orderBy("n").limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n in lengths:
+        own = _nearest(rows.where(F.size("vector") == n), is_query, k, trees, leaf_target, fit_rows, recall, exact)
+        out = own if len(lengths) == 1 else out.unionByName(own)
+    return out
+
+
+def _nearest(rows: DataFrame, is_query, k: int, trees: int, leaf_target: int, fit_rows: int, recall: float, exact: bool) -> DataFrame:
+    """:func:`nearest` among vectors of one length."""
+    kind = dict(rows.dtypes)["vector"]
     most = k + 1
     # One row a distinct vector, with its smallest ids: no other copy can be among the nearest.
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))).where(F.col("r") <= most)
     distinct = cut(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = distinct.count()
-    sample = np.array([r["vector"] for r in distinct.select("vector").orderBy(F.xxhash64("vector", F.lit(3)), "vector").limit(fit_rows).collect()])
+    sample = np.array([r["vector"] for r in distinct.select("vector").orderBy(F.xxhash64("vector", F.lit(3)), "vector").limit(fit_rows).collect()], dtype=float)
     depth = int(min(np.ceil(np.log2(max(1.0, n / leaf_target))), np.floor(np.log2(max(1.0, len(sample) / 4)))))
+    depth = 0 if exact else depth
     forest = Forest(sample, trees if depth else 1, depth)
-    sc = df.sparkSession.sparkContext
+    spark = rows.sparkSession
+    sc = spark.sparkContext
     fitted = sc.broadcast(forest)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                own = fitted.value.leaves(np.stack(pdf["vector"].to_numpy()))
+                own = fitted.value.leaves(np.stack(pdf["vector"].to_numpy()).astype(float))
                 yield pd.DataFrame({"leaves": list(own.astype(np.int32)), "vector": pdf["vector"], "ids": pdf["ids"]})
 
-    indexed = distinct.mapInPandas(placed, "leaves array<int>, vector array<double>, ids array<long>")
+    indexed = distinct.mapInPandas(placed, f"leaves array<int>, vector {kind}, ids array<long>")
     by_leaf = indexed.select(F.posexplode("leaves").alias("tree", "leaf"), "vector", "ids")
     for r in indexed.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").count().collect():
         forest.counts[r["tree"], r["leaf"]] = r["count"]
@@ -192,10 +205,11 @@ def nearest(
         own_leaves, clear = f.sure()
         for pdf in batches:
             for at in range(0, len(pdf), 256):
-                x = np.stack(pdf["vector"].to_numpy()[at : at + 256])
+                own_rows = pdf["vector"].to_numpy()[at : at + 256]
+                x = np.stack(own_rows).astype(float)
                 flat = f.project(x)
                 d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (f.sample**2).sum(1)[None] - 2 * x @ f.sample.T))
-                for i, own in enumerate(x):
+                for i, own in enumerate(own_rows):
                     leaves = f.reached(flat[i], max(f.share * f.counts[0].sum(), most))
                     visited = np.zeros((f.trees, 2**f.depth), bool)
                     visited[tuple(np.array(leaves).T)] = True
@@ -207,17 +221,18 @@ def nearest(
 
     # ids holds only the smallest ids of a vector, so queries are taken from all rows
     queries = rows.where(is_query(F.col("vec_id")))
-    probes = queries.select("vector").distinct().mapInPandas(asked, "tree int, leaf int, slice int, q array<double>, radius double")
-    sizes = df.sparkSession.createDataFrame([(int(t), int(x), int(slices[t, x])) for t, x in zip(*np.nonzero(slices), strict=True)], "tree int, leaf int, n int")
+    probes = queries.select("vector").distinct().mapInPandas(asked, f"tree int, leaf int, slice int, q {kind}, radius double")
+    sizes = spark.createDataFrame([(int(t), int(x), int(slices[t, x])) for t, x in zip(*np.nonzero(slices), strict=True)], "tree int, leaf int, n int")
     stored = by_leaf.join(F.broadcast(sizes), ["tree", "leaf"]).withColumn("slice", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("n")).cast("int")).drop("n")
 
     def reranked(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            x, ids = np.stack(left["vector"].to_numpy()), left["ids"].to_numpy()
+            x, ids = np.stack(left["vector"].to_numpy()).astype(float), left["ids"].to_numpy()
             xx = (x**2).sum(1)
             for at in range(0, len(right), 256):
-                q = np.stack(right["q"].to_numpy()[at : at + 256])
+                sent = right["q"].to_numpy()[at : at + 256]
+                q = np.stack(sent).astype(float)
                 d = np.sqrt(np.maximum(0, (q**2).sum(1)[:, None] + xx[None] - 2 * q @ x.T))
                 for i, radius in enumerate(right["radius"].to_numpy()[at : at + 256]):
                     near = np.flatnonzero(d[i] <= radius)
@@ -226,13 +241,13 @@ def nearest(
                         near = near[d[i][near] <= far * (1 + 1e-6) + 1e-6]
                     exact = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
                     best = sorted((s, v) for s, row in zip(exact.tolist(), near, strict=True) for v in ids[row])[:most]
-                    out["q"] += [q[i]] * len(best)
+                    out["q"] += [sent[i]] * len(best)
                     out["vec_id"] += [v for _, v in best]
                     out["score"] += [s for s, _ in best]
         return pd.DataFrame({"q": pd.Series(out["q"], dtype=object), "vec_id": pd.Series(out["vec_id"], dtype="int64"), "score": pd.Series(out["score"], dtype="float64")})
 
     by = ["tree", "leaf", "slice"]
-    found = stored.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(reranked, "q array<double>, vec_id long, score double").distinct()
+    found = stored.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(reranked, f"q {kind}, vec_id long, score double").distinct()
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= most).drop("r")
     answered = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")).join(best, "q").where("query_id != vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("score", "vec_id"))

@@ -95,7 +95,35 @@ QUERIES: dict[str, Query] = {
     "op10_jaccard": op10_jaccard,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+CONTAMINATION_SQL = rf"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+windows as (select distinct item, least(len(w), 10) as n, w[i : i + least(len(w), 10) - 1] as win from (select item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
+sizes as (select distinct n from windows),
+places as (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n),
+hits as (select rid, i, p.n as n, item from (select rid, n, i, w[i : i + n - 1] as win from places) p join windows using (n, win)),
+items as (select rid, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as told from hits group by rid),
+covered as (select rid, count(distinct place) as n_hit from (select rid, unnest(range(i, i + n)) as place from hits) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(told, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join items using (rid) left join covered using (rid)
+"""
+
+JACCARD_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, w[i : i + least(len(w), 3) - 1] as gram from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as u, b.doc_id as v, count(*) as c from s a join s b using (gram) where a.doc_id < b.doc_id group by 1, 2),
+links as (select u, v from common join sizes x on u = x.doc_id join sizes y on v = y.doc_id where 100 * c >= 90 * (x.n + y.n - c)),
+reach(u, v) as (select u, v from links union select v, u from links union select r.u, l.v from reach r join (select u, v from links union all select v, u from links) l on r.v = l.u)
+select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id
+from documents left join sizes using (doc_id) left join (select u as doc_id, min(v) as m from reach group by u) using (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": CONTAMINATION_SQL,
+    "op10_jaccard": JACCARD_SQL,
     "op8_chat": chat.PLAIN_SQL,
     "op9_licences": licences.scan_sql(),
 }

@@ -28,3 +28,20 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = licences.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_spellings_are_whole_words(spark):
+    pairs = [("While state is kept", "whileate is kept", False), ("Licence licence, LICENCES", "license license licenses", True), ("sub-licence the organisation's", "sublicense the organization s", True), ("programmed", "programd", False), ("Copyright Holders (whilst)", "copyright owners while", True)]
+    rows = [(k, a, b) for k, (a, b, _) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "k int, a string, b string").select("k", licences.digest("a").alias("a"), licences.digest("b").alias("b"))
+    for r in df.collect():
+        assert (r["a"] == r["b"]) == pairs[r["k"]][2], pairs[r["k"]]
+        assert r["a"] == licences.plain_digest(pairs[r["k"]][0])
+
+
+def test_digests_in_python_and_spark(spark):
+    from tracelake.llm import known_licences
+
+    table = known_licences.table(spark)
+    got = {(r["license_id"], r["text"]): r["d"] for r in table.select("*", licences.digest("text").alias("d")).collect()}
+    assert len(got) > 1000 and all(licences.plain_digest(t) == d for (_, t), d in got.items())

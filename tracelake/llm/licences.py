@@ -12,6 +12,9 @@ has for it.
 
 from __future__ import annotations
 
+import hashlib
+
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ BROADCAST_LICENCES = 20_000
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright[\x20\t]*(?:\(c\)|©|[0-9]{4}|[<\[]year)|©|\(c\)[\x20\t]*[0-9]{4}|all rights reserved)[^\n]*$"
 SIGNS = r"[^\p{L}\p{N}\n]+"
 #: Spellings that licence matching takes as equal, after signs have become blanks.
+#: They stand for whole words, with or without an s at the end.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
@@ -39,7 +43,7 @@ SPELLINGS = (
     ("emphasised", "emphasized"),
     ("favour", "favor"),
     ("favourite", "favorite"),
-    ("fulfil ", "fulfill "),
+    ("fulfil", "fulfill"),
     ("initialise", "initialize"),
     ("judgement", "judgment"),
     ("labelling", "labeling"),
@@ -63,7 +67,6 @@ SPELLINGS = (
     ("signalling", "signaling"),
     ("sub license", "sublicense"),
     ("utilisation", "utilization"),
-    ("while st", "while"),
     ("whilst", "while"),
     ("wilful", "willful"),
 )
@@ -87,13 +90,33 @@ KNOWN = (
 )
 
 
+#: Texts without any of these words keep their spelling.
+_SPELT = r"(?:^|[ \n])(?:" + "|".join(other for other, _ in SPELLINGS) + r")s?(?:$|[ \n])"
+
+
+def _one(other: str) -> str:
+    return rf"(^|[ \n]){other.replace(' ', '  ')}(s?)($|[ \n])"
+
+
 def normalised(text: Column) -> Column:
-    """Normal form of each line; lines stay apart."""
+    """Normal form of each line; lines stay apart, and may have blanks at their ends."""
     x = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
     x = F.regexp_replace(x, SIGNS, " ")
+    # Blanks are doubled, so that each of two words side by side has its own around it
+    spelt = F.replace(F.replace(x, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n "))
     for other, one in SPELLINGS:
-        x = F.replace(x, F.lit(other), F.lit(one))
-    return x
+        spelt = F.regexp_replace(spelt, _one(other), f"$1{one}$2$3")
+    return F.when(x.rlike(_SPELT), F.regexp_replace(spelt, " +", " ")).otherwise(x)
+
+
+def plain_digest(text: str) -> str:
+    """:func:`digest` of one text, in Python."""
+    x = regex.sub(SIGNS, " ", regex.sub(COPYRIGHT_LINE, "", text.lower()))
+    spelt = regex.search(_SPELT, x) is not None
+    x = x.replace(" ", "  ").replace("\n", " \n ")
+    for other, one in SPELLINGS if spelt else ():
+        x = regex.sub(_one(other), rf"\g<1>{one}\g<2>\g<3>", x)
+    return hashlib.sha256(regex.sub(r"[ \n]+", " ", x).strip(" ").encode()).hexdigest()
 
 
 def _whole(x: Column) -> Column:
@@ -136,26 +159,27 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def scan_sql() -> str:
-    """:func:`scan` over ``documents`` with the known licences, for DuckDB."""
-
-    def normal(x: str) -> str:
-        x = f"regexp_replace(lower({x}), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
-        x = f"regexp_replace({x}, {_quoted(SIGNS)}, ' ', 'g')"
-        for other, one in SPELLINGS:
-            x = f"replace({x}, {_quoted(other)}, {_quoted(one)})"
-        return x
-
-    known = ", ".join(f"({_quoted(k)}, {_quoted(t)})" for k, t in KNOWN)
+def scan_sql(licences: list[tuple[str, str]] = KNOWN) -> str:
+    """:func:`scan` over ``documents`` with the given licences, for DuckDB; their digests are worked
+    out here."""
+    x = f"regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
+    x = f"regexp_replace({x}, {_quoted(SIGNS)}, ' ', 'g')"
+    x = f"replace(replace({x}, ' ', '  '), chr(10), ' ' || chr(10) || ' ')"
+    for other, one in SPELLINGS:
+        x = f"regexp_replace({x}, {_quoted(_one(other))}, '\\1{one}\\2\\3', 'g')"
+    known: dict[str, str] = {}
+    for k, t in licences:
+        d = plain_digest(t)
+        known[d] = min(k, known.get(d, k))
+    values = ", ".join(f"('{d}', {_quoted(k)})" for d, k in known.items())
     return f"""
-with licences(license_id, text) as (values {known}),
-known as (select sha256(trim(regexp_replace({normal("text")}, '[ \\n]+', ' ', 'g'), ' ')) as digest, min(license_id) as license_id from licences group by 1),
-normal as (select doc_id, {normal("coalesce(text, '')")} as x from documents),
+with known(digest, license_id) as (values {values}),
+normal as (select doc_id, {x} as x from documents),
 lines as (select doc_id, string_split(x, chr(10)) as l from normal),
 parts as (
   select doc_id, 0 as line_no, trim(regexp_replace(x, '[ \\n]+', ' ', 'g'), ' ') as own from normal
   union all
-  select doc_id, i as line_no, trim(l[i], ' ') as own from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from lines) where trim(l[i], ' ') != ''
+  select doc_id, i as line_no, trim(regexp_replace(l[i], ' +', ' ', 'g'), ' ') as own from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from lines) where trim(l[i], ' ') != ''
 )
 select doc_id, cast(line_no as integer) as line_no, sha256(own) as digest, license_id
 from parts left join known on sha256(parts.own) = known.digest

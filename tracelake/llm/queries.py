@@ -125,5 +125,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": CONTAMINATION_SQL,
     "op10_jaccard": JACCARD_SQL,
     "op8_chat": chat.PLAIN_SQL,
-    "op9_licences": licences.scan_sql(),
+    "op9_licences": licences.scan_sql(known_licences.rows()),
 }

@@ -68,3 +68,18 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.link_tools(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and F is not None
+
+
+def test_repeated_rows(spark):
+    rows = [(1, 0, "assistant", said([call("c", "ping", {})]))] * 2 + [(1, 1, "tool", json.dumps({"tool_call_id": "c", "content": "x"}))] * 3
+    got = linked(spark, rows)
+    assert sorted((r["kind"], r["status"]) for r in got if r["kind"] != "message") == [("call", "duplicate"), ("call", "linked"), ("result", "duplicate"), ("result", "duplicate"), ("result", "linked")]
+
+
+def test_lookups_do_all_kinds_of_work(spark):
+    from tracelake.llm.queries import QUERIES
+
+    got = QUERIES["op8_chat"](spark, "/root/testdata/sf0.01").collect()
+    kinds = {(r["kind"], r["status"]) for r in got}
+    assert {("call", "linked"), ("call", "pending"), ("result", "linked"), ("message", "message")} <= kinds
+    assert any(r["order_phase"] for r in got) and {json.loads(r["json"])["valid"] for r in got if r["kind"] == "call"} == {True, False}

@@ -69,6 +69,25 @@ def _validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return calls.join(by_tool, "name", "left").withColumn("errors", F.when(F.col("spec").isNotNull(), errors)).drop("spec")
 
 
+#: Copies of a row that one array numbers.
+COPIES = 1 << 16
+
+
+def _copies(df: DataFrame) -> DataFrame:
+    """Each row as often as ``n`` says, numbered by ``copy`` from 0."""
+    blocks = df.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    own = F.sequence(F.col("b") * COPIES, F.least(F.col("n"), (F.col("b") + 1) * COPIES) - 1)
+    return blocks.withColumn("copy", F.explode(own)).drop("b", "n")
+
+
+def _parsed(df: DataFrame) -> DataFrame:
+    """``df`` with v (the JSON of a text that may hold calls or a result), calls and result_of."""
+    object_like = F.col("text").rlike(r"^\s*\{") & F.col("role").isin("assistant", "tool")
+    df = df.withColumn("v", F.when(object_like, F.try_parse_json("text")))
+    called = F.when(F.col("role") == "assistant", _get(F.col("v"), "$.tool_calls", "array<variant>"))
+    return df.withColumns({"calls": called, "result_of": F.when(F.col("role") == "tool", _get(F.col("v"), "$.tool_call_id", "string"))})
+
+
 def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row a message, call and result: conv_id, turn, kind, call_id, status, order_turn,
     order_phase, order_no, json.
@@ -80,15 +99,12 @@ def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "con
       validation found (``valid`` is left out if the tool has no schema).
     - Null roles and texts are left out of the JSON; rows with null conversation or turn are
       messages too, but link with nothing.  Of repeated rows the calls and results beyond the
-      first are duplicates.  An empty table gives an empty result.
+      first are duplicates, as are those of other rows of the same turn.  Very long texts stay
+      whole.  An empty table gives an empty result.
     """
     schemas = no_schemas(df.sparkSession) if schemas is None else schemas
     said = df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    object_like = F.col("text").rlike(r"^\s*\{") & F.col("role").isin("assistant", "tool")
-    said = said.withColumn("v", F.when(object_like, F.try_parse_json("text")))
-    called = F.when(F.col("role") == "assistant", _get(F.col("v"), "$.tool_calls", "array<variant>"))
-    result_of = F.when(F.col("role") == "tool", _get(F.col("v"), "$.tool_call_id", "string"))
-    said = said.withColumns({"calls": called, "result_of": result_of})
+    said = _parsed(said)
 
     plain = F.when(F.size("calls") > 0, _get(F.col("v"), "$.content", "string")).otherwise(F.col("text"))
     messages = said.where("result_of is null").select(
@@ -96,31 +112,34 @@ def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "con
         F.col("turn").alias("order_turn"), F.lit(0).alias("order_phase"), F.lit(0).alias("order_no"), _json(role=F.col("role"), content=plain).alias("json"),
     )
 
+    tools = _parsed(_copies(said.where("size(calls) > 0 or result_of is not null").groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))))
+    tools = tools.withColumn("h", F.xxhash64("text"))
     c = F.col("c")
     arguments = F.coalesce(_get(c, "$.arguments", "variant"), _get(c, "$.function.arguments", "variant"))
     as_text = F.when(F.schema_of_variant(arguments) == "STRING", F.try_parse_json(_get(arguments, "$", "string"))).otherwise(arguments)
     calls = (
-        said.where(F.size("calls") > 0)
-        .select("conv_id", "turn", F.posexplode("calls").alias("no", "c"))
+        tools.where(F.size("calls") > 0)
+        .select("conv_id", "turn", "h", "copy", F.posexplode("calls").alias("no", "c"))
         .select(
+            "h", "copy",
             "conv_id", "turn", (F.col("no") + 1).alias("no"), _get(c, "$.id", "string").alias("call_id"),
             F.coalesce(_get(c, "$.name", "string"), _get(c, "$.function.name", "string")).alias("name"), as_text.alias("arguments"),
         )
         .withColumn("given", F.when(F.schema_of_variant("arguments").startswith("OBJECT"), _get(F.col("arguments"), "$", "map<string,variant>")))
     )
     calls = _validated(calls, schemas).withColumn("arguments", F.to_json("arguments")).drop("given")
-    results = said.where("result_of is not null").select(
-        "conv_id", "turn", F.col("result_of").alias("call_id"),
+    results = tools.where("result_of is not null").select(
+        "h", "copy", "conv_id", "turn", F.col("result_of").alias("call_id"),
         F.coalesce(_get(F.col("v"), "$.content", "string"), F.to_json(_get(F.col("v"), "$.content", "variant"))).alias("content"),
     )
 
     key = ["conv_id", "call_id"]
-    first_call = calls.where("call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "no")).alias("first"))
-    first_result = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("answer"))
+    first_call = calls.where("call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "no", "h", "copy")).alias("first"))
+    first_result = results.groupBy(*key).agg(F.min(F.struct("turn", "content", "h", "copy")).alias("answer"))
     linked = first_call.join(first_result, key, "full")
 
     own = calls.join(linked, key, "left")
-    is_first = F.col("first") == F.struct("turn", "no")
+    is_first = F.col("first") == F.struct("turn", "no", "h", "copy")
     call_events = own.select(
         "conv_id", "turn", F.lit("call").alias("kind"), "call_id",
         F.when(F.col("call_id").isNull(), "unnamed").when(~F.coalesce(is_first, F.lit(True)), "duplicate").when(F.col("answer").isNotNull(), "linked").otherwise("pending").alias("status"),
@@ -131,7 +150,7 @@ def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "con
         ).alias("json"),
     )
     got = results.join(linked, key, "left")
-    is_answer = F.col("answer").eqNullSafe(F.struct("turn", "content"))
+    is_answer = F.col("answer").eqNullSafe(F.struct("turn", "content", "h", "copy"))
     late = F.col("first.turn") >= F.col("turn")
     result_events = got.select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id",
@@ -143,15 +162,53 @@ def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "con
     return messages.unionByName(call_events).unionByName(result_events)
 
 
-#: For tables without tool calls and results, which link with nothing: every row is a message.
-PLAIN_SQL = """
-select conv_id, turn, 'message' as kind, cast(null as varchar) as call_id, 'message' as status,
-       turn as order_turn, 0 as order_phase, 0 as order_no,
-       case when text is null and role is null then '{}'
-            when text is null then cast(json_object('role', role) as varchar)
-            when role is null then cast(json_object('content', text) as varchar)
-            else cast(json_object('content', text, 'role', role) as varchar) end as json
-from conversations
-where not coalesce(role in ('assistant', 'tool') and regexp_matches(text, '^\\s*\\{')
-                   and (json_valid(text) and (text like '%tool_call%')), false)
+#: Schema of the tool of :func:`with_lookups`.
+LOOKUP = (("lookup", "limit", "integer", True), ("lookup", "query", "string", True))
+
+
+def with_lookups(df: DataFrame) -> DataFrame:
+    """Plain conversations as if each user message were looked up by a tool and each assistant message
+    were what the tool found: turn t becomes 3 t, a call stands at 3 t + 1, a result at 3 t - 1 (at
+    3 t - 3, before its call, in every fifth conversation).  Every fourth turn passes a limit that is
+    no number, another fourth no query."""
+    t, text = F.col("turn"), F.col("text")
+    arguments = (
+        F.when(t % 4 == 0, F.to_json(F.struct(F.lit("many").alias("limit"), text.alias("query"))))
+        .when(t % 4 == 2, F.to_json(F.struct(t.alias("limit"))))
+        .otherwise(F.to_json(F.struct(t.alias("limit"), text.alias("query"))))
+    )
+    call = F.struct(F.concat(F.lit("q"), t.cast("string")).alias("id"), F.lit("lookup").alias("name"), arguments.alias("arguments"))
+    result = F.struct(F.concat(F.lit("q"), (t - 1).cast("string")).alias("tool_call_id"), text.alias("content"))
+    row = lambda at, role, x: F.struct(at.cast("long").alias("turn"), role.alias("role"), x.alias("text"))
+    rows = [
+        row(t * 3, F.col("role"), text),
+        F.when(F.col("role") == "user", row(t * 3 + 1, F.lit("assistant"), F.to_json(F.struct(F.array(call).alias("tool_calls"))))),
+        F.when(F.col("role") == "assistant", row(F.when(F.col("conv_id") % 5 == 0, t * 3 - 3).otherwise(t * 3 - 1), F.lit("tool"), F.to_json(result))),
+    ]
+    return df.select("conv_id", F.inline(F.array_compact(F.array(*rows))))
+
+
+#: :func:`link_tools` of :func:`with_lookups`, for conversations without nulls, repeated turns and
+#: tool calls of their own.
+LOOKUP_SQL = """
+with c as (select conv_id, turn, role, text, case when conv_id % 5 = 0 then turn * 3 - 3 else turn * 3 - 1 end as found from conversations),
+called as (
+  select u.*, a.found as answer,
+    case u.turn % 4 when 0 then cast(json_object('limit', 'many', 'query', u.text) as varchar) when 2 then cast(json_object('limit', u.turn) as varchar)
+      else cast(json_object('limit', u.turn, 'query', u.text) as varchar) end as args,
+    case u.turn % 4 when 0 then '["not integer limit"]' when 2 then '["missing query"]' end as errors
+  from c u left join c a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user'),
+results as (select a.*, u.turn * 3 + 1 as asked from c a left join c u on u.conv_id = a.conv_id and u.turn = a.turn - 1 and u.role = 'user' where a.role = 'assistant')
+select conv_id, turn * 3 as turn, 'message' as kind, cast(null as varchar) as call_id, 'message' as status, turn * 3 as order_turn, 0 as order_phase, 0 as order_no,
+  cast(json_object('content', text, 'role', role) as varchar) as json from c
+union all
+select conv_id, turn * 3 + 1, 'message', null, 'message', turn * 3 + 1, 0, 0, '{"role":"assistant"}' from called
+union all
+select conv_id, turn * 3 + 1, 'call', 'q' || turn, case when answer is null then 'pending' else 'linked' end, turn * 3 + 1, 0, 1,
+  '{"arguments":' || cast(to_json(args) as varchar) || coalesce(',"errors":' || errors, '') || ',"id":"q' || turn || '","name":"lookup"' || coalesce(',"result_turn":' || answer, '')
+    || ',"valid":' || case when errors is null then 'true' else 'false' end || '}' from called
+union all
+select conv_id, found, 'result', 'q' || (turn - 1), case when asked is null then 'orphan' else 'linked' end, greatest(found, coalesce(asked, found)),
+  case when asked >= found then 1 else 0 end, case when asked >= found then 1 else 0 end,
+  '{' || coalesce('"call_turn":' || asked || ',', '') || '"content":' || cast(to_json(text) as varchar) || ',"id":"q' || (turn - 1) || '","role":"tool"}' from results
 """

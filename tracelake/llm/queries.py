@@ -71,7 +71,9 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link_tools(table(spark, sf_dir, "conversations"))
+    """The conversations hold no tool calls, so each message is looked up, or found, by a tool."""
+    schemas = spark.createDataFrame([*chat.LOOKUP], chat.SCHEMA)
+    return chat.link_tools(chat.with_lookups(table(spark, sf_dir, "conversations")), schemas)
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +126,6 @@ from documents left join sizes using (doc_id) left join (select u as doc_id, min
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": CONTAMINATION_SQL,
     "op10_jaccard": JACCARD_SQL,
-    "op8_chat": chat.PLAIN_SQL,
+    "op8_chat": chat.LOOKUP_SQL,
     "op9_licences": licences.scan_sql(known_licences.rows()),
 }

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import cut
+
 #: Schemas are broadcast up to this many rows, else joined with a shuffle.
 BROADCAST_SCHEMAS = 10_000
 
@@ -112,8 +114,8 @@ def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "con
         F.col("turn").alias("order_turn"), F.lit(0).alias("order_phase"), F.lit(0).alias("order_no"), _json(role=F.col("role"), content=plain).alias("json"),
     )
 
-    tools = _parsed(_copies(said.where("size(calls) > 0 or result_of is not null").groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))))
-    tools = tools.withColumn("h", F.xxhash64("text"))
+    rows = said.where("size(calls) > 0 or result_of is not null").groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    tools = _parsed(_copies(cut(rows))).withColumn("h", F.xxhash64("text"))  # read four times
     c = F.col("c")
     arguments = F.coalesce(_get(c, "$.arguments", "variant"), _get(c, "$.function.arguments", "variant"))
     as_text = F.when(F.schema_of_variant(arguments) == "STRING", F.try_parse_json(_get(arguments, "$", "string"))).otherwise(arguments)
@@ -135,7 +137,7 @@ def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "con
 
     key = ["conv_id", "call_id"]
     first_call = calls.where("call_id is not null").groupBy(*key).agg(F.min(F.struct("turn", "no", "h", "copy")).alias("first"))
-    first_result = results.groupBy(*key).agg(F.min(F.struct("turn", "content", "h", "copy")).alias("answer"))
+    first_result = results.groupBy(*key).agg(F.min(F.struct("turn", "h", "copy")).alias("answer"))
     linked = first_call.join(first_result, key, "full")
 
     own = calls.join(linked, key, "left")
@@ -150,7 +152,7 @@ def link_tools(df: DataFrame, schemas: DataFrame | None = None, conv: str = "con
         ).alias("json"),
     )
     got = results.join(linked, key, "left")
-    is_answer = F.col("answer").eqNullSafe(F.struct("turn", "content", "h", "copy"))
+    is_answer = F.col("answer").eqNullSafe(F.struct("turn", "h", "copy"))
     late = F.col("first.turn") >= F.col("turn")
     result_events = got.select(
         "conv_id", "turn", F.lit("result").alias("kind"), "call_id",

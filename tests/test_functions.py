@@ -93,7 +93,7 @@ def test_info_and_header_text():
     h = container.Header(sampling_frequency=255.9949866127, sample_count=7, electrodes=[{"label": "a", "unit": "uV", "iscale": 1.0, "rscale": 1.0}], history="x")
     said = container.parse_header_text(container.header_text(h))
     assert said["sampling_frequency"] == 255.9949866127 and said["sample_count"] == 7 and said["version"] == (4, 2) and said["history"] == "x\n"
-    assert container.parse_birth("nothing") is None
+    assert container.parse_birth("nothing") == 0  # 1970 stands for what is no time
 
 
 def test_ranges_by_recording(spark):

@@ -5,7 +5,7 @@ from tracelake.plans.queries import QUERIES
 
 
 def test_every_order_is_a_range(spark, sf_dir):
-    got = QUERIES["epoch_offsets_to_ranges_all"](spark, sf_dir).orderBy("epoch").collect()
+    got = QUERIES["epoch_offsets_to_ranges"](spark, sf_dir).orderBy("epoch").collect()
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey").collect()
     at = 10
     for r, o in zip(got, orders, strict=True):
@@ -26,5 +26,5 @@ def test_buckets_are_one_sum(spark):
 
 
 def test_units_give_both_results(spark, sf_dir):
-    got = QUERIES["electrode_validate_units"](spark, sf_dir).groupBy("valid").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = QUERIES["electrode_validate"](spark, sf_dir).groupBy("valid").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["valid"] for r in got} == {True, False}

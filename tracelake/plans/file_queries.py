@@ -228,7 +228,7 @@ def writer_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select 'RIFF' as kind, {APPENDED // EPOCH * EPOCH}::bigint as sample_count, {APPENDED // EPOCH}::bigint as epochs, 5 as channels, 'N' as subject_name, 'Frequent' as code")
 def writer_flushed_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = appended(spark, close=False, subject_name="N")
-    return r.header().select("kind", "sample_count", "epochs", "channels", "subject_name").crossJoin(r.triggers().select("code"))  # one row each
+    return r.header().select("kind", "sample_count", "epochs", "channels", "subject_name", F.lit(r.triggers().first()["code"]).alias("code"))
 
 
 @query(_EPOCHS)

@@ -97,27 +97,14 @@ def epoch_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.epoch_table(spark, total, EPOCH)
 
 
-_OFFSETS = "select cast(o_orderkey as bigint) as epoch, sum(cast(floor(o_totalprice) as bigint) + 1) over (order by o_orderkey) - cast(floor(o_totalprice) as bigint) - 1 as \"offset\" from orders where o_orderkey <= 500"
-
-
-@query(f"with o as ({_OFFSETS}) select epoch, cast(\"offset\" + 10 as bigint) as fpos, cast(coalesce(lead(\"offset\") over (order by epoch), 100000000000) - \"offset\" as bigint) as size, true as valid from o")
-def epoch_offsets_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    orders = s.table(spark, sf_dir, "orders").where("o_orderkey <= 500")  # an index of 500 epochs
-    size = F.floor("o_totalprice").cast("long") + 1
-    offsets = orders.select(F.col("o_orderkey").alias("epoch"), (F.sum(size).over(Window.orderBy("o_orderkey")) - size).alias("offset"))
-    return signal.offsets_to_ranges(offsets, 100_000_000_000, 10)
-
-
-_ALL_OFFSETS = _OFFSETS.removesuffix(" where o_orderkey <= 500")
+_OFFSETS = "select cast(o_orderkey as bigint) as epoch, sum(cast(floor(o_totalprice) as bigint) + 1) over (order by o_orderkey) - cast(floor(o_totalprice) as bigint) - 1 as \"offset\" from orders"
 #: Epochs of one window.
 BUCKET = 1 << 16
 
 
-@query(f"""with o as ({_ALL_OFFSETS}), e as (select sum(cast(floor(o_totalprice) as bigint) + 1) as total from orders)
+@query(f"""with o as ({_OFFSETS}), e as (select sum(cast(floor(o_totalprice) as bigint) + 1) as total from orders)
   select epoch, cast("offset" + 10 as bigint) as fpos, cast(coalesce(lead("offset") over (order by epoch), total) - "offset" as bigint) as size, true as valid from o, e""")
-def epoch_offsets_to_ranges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def epoch_offsets_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of all orders, whose data end with the last one."""
     sizes = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("epoch"), (F.floor("o_totalprice").cast("long") + 1).alias("size"))
     end = sizes.agg(F.sum("size")).first()[0] or 0
@@ -135,10 +122,11 @@ def row_order_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.to_client_order(signal.to_storage_order(s.dense(spark, sf_dir), order), order).select("sensor", "sample", "value")
 
 
-@query("select * from (values (0, true), (1, false), (2, false), (3, true), (4, false)) t(id, valid)")
+@query("select o_orderkey, list_sort([o_orderkey % 3, o_custkey % 3, (o_orderkey + o_custkey) % 3]) = [0, 1, 2] as valid from orders")
 def row_order_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, [2, 0, 1]), (1, [0, 0, 1]), (2, [1, 2, 3]), (3, [0]), (4, [])]
-    return spark.createDataFrame(rows, "id int, o array<int>").select("id", validate.valid_order(F.col("o")).alias("valid"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    order = F.array(*[(x % 3).cast("int") for x in (k, c, k + c)])
+    return s.table(spark, sf_dir, "orders").select("o_orderkey", validate.valid_order(order).alias("valid"))
 
 
 @query(f"with {DENSE_SQL} select sensor, sample - 300 + 7 as sample, value from dense where sample >= 300 and sample < 400")
@@ -334,20 +322,9 @@ def trigger_code_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LABEL_RULE = "strlen({0}) <= {1} and not contains({0}, ' ') and not contains({0}, chr(0))"
 
 
-@query(f"""select c_custkey, {_LABEL_RULE.format("c_mktsegment", 10)} and c_mktsegment != '' and left(c_mktsegment, 1) not in ('[', ';')
-  and {_LABEL_RULE.format("left(c_name, 12)", 10)} and c_name != '' and isfinite(c_acctbal) as valid from customer""")
-def electrode_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = s.table(spark, sf_dir, "customer")
-    as_electrodes = c.select(
-        "c_custkey", F.col("c_mktsegment").alias("label"), F.substring("c_name", 1, 12).alias("unit"), F.lit("").alias("reference"), F.lit("").alias("status"), F.lit("").alias("type"),
-        F.col("c_acctbal").alias("iscale"), F.lit(1.0).alias("rscale"),
-    )
-    return as_electrodes.select("c_custkey", validate.valid_electrode().alias("valid"))
-
-
 @query(f"""select o_orderkey, {_LABEL_RULE.format("o_orderstatus", 10)} and o_orderstatus != '' and left(o_orderstatus, 1) not in ('[', ';')
   and {_LABEL_RULE.format("o_orderpriority", 10)} and o_orderpriority != '' and isfinite(o_totalprice) as valid from orders""")
-def electrode_validate_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def electrode_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rules over names that are units and names that are not."""
     as_electrodes = s.table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_orderstatus").alias("label"), F.col("o_orderpriority").alias("unit"), F.lit("").alias("reference"), F.lit("").alias("status"), F.lit("").alias("type"),

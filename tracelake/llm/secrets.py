@@ -539,7 +539,9 @@ def fit_crf(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: in
             if rows:
                 yield pd.DataFrame(rows, columns=["h", "i", "rows", "tags"])
 
-    found = sample.select(F.xxhash64(order, "text").alias("h"), "text").mapInPandas(taken, "h long, i int, rows array<string>, tags array<int>")
+    # a few texts, dealt out: however the table is stored, all tasks share the work
+    dealt = sample.select(F.xxhash64(order, "text").alias("h"), "text").repartition(min(64, df.sparkSession.sparkContext.defaultParallelism), "h")
+    found = dealt.mapInPandas(taken, "h long, i int, rows array<string>, tags array<int>")
     rows = sorted(found.collect(), key=lambda r: (r["h"], r["i"]))
     return Crf.fit([([x.split(" ") for x in r["rows"]], list(r["tags"])) for r in rows]) if rows else None
 

@@ -28,3 +28,9 @@ def test_buckets_are_one_sum(spark):
 def test_units_give_both_results(spark, sf_dir):
     got = QUERIES["electrode_validate"](spark, sf_dir).groupBy("valid").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r["valid"] for r in got} == {True, False}
+
+
+def test_single_sensors_keep_all_samples(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    for name in ("row_order_restore", "scale_write", "scale_read", "sign_extend", "rechunk", "delta_time", "delta_time2", "restore_time", "restore_time2"):
+        assert QUERIES[name](spark, sf_dir).count() == events, name

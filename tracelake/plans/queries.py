@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import dates, leb128, text
 from tracelake.operators import codec, cost, delta, events, signal, validate
 from tracelake.plans import stand_in as s
-from tracelake.plans.stand_in import DENSE_SQL, EPOCH, EPOCHS_SQL, SMOOTH_SQL, costs_sql, deltas_sql, residuals_sql
+from tracelake.plans.stand_in import DENSE_SQL, EPOCH, EPOCHS_SQL, SMOOTH_SQL, costs_sql, deltas_sql, epochs_sql, residuals_sql, smooth_sql
 from tracelake.sources import archive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,15 +111,15 @@ def epoch_offsets_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.offsets_to_ranges(signal.running_offsets(sizes, "size", BUCKET).select("epoch", "offset"), end, 10, bucket=BUCKET)
 
 
-@query(f"with {DENSE_SQL} select storage_row, sample, value from dense join {ORDER_SQL} using (sensor)")
+@query(f"with {DENSE_SQL} select storage_row, sample, value from sparse join {ORDER_SQL} using (sensor)")
 def row_order_permute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.to_storage_order(s.dense(spark, sf_dir), signal.order_table(spark, ORDER)).select("storage_row", "sample", "value")
+    return signal.to_storage_order(s.every(spark, sf_dir), signal.order_table(spark, ORDER)).select("storage_row", "sample", "value")
 
 
-@query(f"with {DENSE_SQL}, stored as (select storage_row, sample, value from dense join {ORDER_SQL} using (sensor)) select sensor, sample, value from stored join {ORDER_SQL} using (storage_row)")
+@query(f"with {DENSE_SQL}, stored as (select storage_row, sample, value from sparse join {ORDER_SQL} using (sensor)) select sensor, sample, value from stored join {ORDER_SQL} using (storage_row)")
 def row_order_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = signal.order_table(spark, ORDER)
-    return signal.to_client_order(signal.to_storage_order(s.dense(spark, sf_dir), order), order).select("sensor", "sample", "value")
+    return signal.to_client_order(signal.to_storage_order(s.every(spark, sf_dir), order), order).select("sensor", "sample", "value")
 
 
 @query("select o_orderkey, list_sort([o_orderkey % 3, o_custkey % 3, (o_orderkey + o_custkey) % 3]) = [0, 1, 2] as valid from orders")
@@ -140,19 +140,19 @@ def transpose_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.long_form(signal.column_major(part, SENSORS), SENSORS).select("sensor", "sample", "value")
 
 
-@query(f"with {DENSE_SQL} select sensor, sample, cast(round(value / 256.0 * (1 / scale)) as integer) as value from dense join {SCALE_SQL} using (sensor)")
+@query(f"with {DENSE_SQL} select sensor, sample, cast(round(value / 256.0 * (1 / scale)) as integer) as value from sparse join {SCALE_SQL} using (sensor)")
 def scale_write(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.scale_write(s.physical(spark, sf_dir), electrodes(spark)).select("sensor", "sample", "value")
+    return signal.scale_write(s.physical(spark, sf_dir, s.every), electrodes(spark)).select("sensor", "sample", "value")
 
 
-@query(f"with {DENSE_SQL} select sensor, sample, value * scale as value from dense join {SCALE_SQL} using (sensor)")
+@query(f"with {DENSE_SQL} select sensor, sample, value * scale as value from sparse join {SCALE_SQL} using (sensor)")
 def scale_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.scale_read(s.dense(spark, sf_dir), electrodes(spark)).select("sensor", "sample", "value")
+    return signal.scale_read(s.every(spark, sf_dir), electrodes(spark)).select("sensor", "sample", "value")
 
 
-@query(f'with {EPOCHS_SQL} select sensor, epoch, "offset", value from epochs')
+@query(f"with {epochs_sql('sparse')} select sensor, epoch, \"offset\", value from epochs")
 def rechunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.epochs(spark, sf_dir).select("sensor", "epoch", "offset", "value")
+    return s.epochs(spark, sf_dir, s.every).select("sensor", "epoch", "offset", "value")
 
 
 @query(f"with {EPOCHS_SQL}, e as (select epoch, count(distinct sample) as length from epochs group by epoch) select epoch, length, cast(sum(length) over (order by epoch) as bigint) as sample_count from e")
@@ -169,19 +169,20 @@ def epoch_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("epoch").agg(F.sum(F.size("row")).cast("long").alias("cells"), F.sum(total * (F.col("sensor") + 1)).alias("weighted"))
 
 
-# Differences and their inverses
+# Differences and their inverses: in time of all samples, across sensors of the matrix
 
+_SIG_ALL = f"with {smooth_sql('sparse')}, {deltas_sql('smooth')} select sensor, sample, epoch"
 _SIG = f"with {SMOOTH_SQL}, {deltas_sql('smooth')} select sensor, sample, epoch"
 
 
-@query(f"{_SIG}, t as residual from deltas")
+@query(f"{_SIG_ALL}, t as residual from deltas")
 def delta_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.time(delta.by_epoch(s.smooth(spark, sf_dir))).select("sensor", "sample", "epoch", "residual")
+    return delta.time(delta.by_epoch(s.smooth(spark, sf_dir, s.every))).select("sensor", "sample", "epoch", "residual")
 
 
-@query(f"{_SIG}, t2 as residual from deltas")
+@query(f"{_SIG_ALL}, t2 as residual from deltas")
 def delta_time2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.time2(delta.by_epoch(s.smooth(spark, sf_dir))).select("sensor", "sample", "epoch", "residual")
+    return delta.time2(delta.by_epoch(s.smooth(spark, sf_dir, s.every))).select("sensor", "sample", "epoch", "residual")
 
 
 @query(f"{_SIG}, c as residual from deltas")
@@ -189,18 +190,19 @@ def delta_chan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta.chan(delta.by_epoch(s.smooth(spark, sf_dir))).select("sensor", "sample", "epoch", "residual")
 
 
+_SMOOTH_ALL = f"with {smooth_sql('sparse')} select sensor, sample, epoch, value from smooth"
 _SMOOTH = f"with {SMOOTH_SQL} select sensor, sample, epoch, value from smooth"
 _KEPT = ("sensor", "sample", "epoch", "value")
 
 
-@query(_SMOOTH)
+@query(_SMOOTH_ALL)
 def restore_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.restore_time(delta.time(delta.by_epoch(s.smooth(spark, sf_dir))).drop("value")).select(*_KEPT)
+    return delta.restore_time(delta.time(delta.by_epoch(s.smooth(spark, sf_dir, s.every))).drop("value")).select(*_KEPT)
 
 
-@query(_SMOOTH)
+@query(_SMOOTH_ALL)
 def restore_time2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.restore_time2(delta.time2(delta.by_epoch(s.smooth(spark, sf_dir))).drop("value")).select(*_KEPT)
+    return delta.restore_time2(delta.time2(delta.by_epoch(s.smooth(spark, sf_dir, s.every))).drop("value")).select(*_KEPT)
 
 
 @query(_SMOOTH)
@@ -227,9 +229,9 @@ def bit_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("sensor", "epoch", "sample", "method", "residual", cost.bit_width(F.col("residual")).alias("width"))
 
 
-@query(f"with {DENSE_SQL} select sensor, sample, case when (value & 4095) >= 2048 then (value & 4095) - 4096 else (value & 4095) end as value from dense")
+@query(f"with {DENSE_SQL} select sensor, sample, case when (value & 4095) >= 2048 then (value & 4095) - 4096 else (value & 4095) end as value from sparse")
 def sign_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.dense(spark, sf_dir).withColumn("value", cost.restore_sign(F.col("value"), 12))
+    return s.every(spark, sf_dir).withColumn("value", cost.restore_sign(F.col("value"), 12))
 
 
 @query(f"with {residuals_sql()} select sensor, epoch, method, cast(width as integer) as width, count(*) as n, cast(sum(marker) as bigint) as markers from residuals where not first group by 1, 2, 3, 4")
@@ -414,7 +416,7 @@ def sex_hand_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The flagship: residuals of the dense signal by block
 
 
-@query(f"with {EPOCHS_SQL}, {deltas_sql('epochs')} select sensor, epoch, count(*) as n, min(t) as smallest, max(t) as largest, cast(sum(t) as bigint) as total from deltas group by 1, 2")
+@query(f"with {epochs_sql('sparse')}, {deltas_sql('epochs')} select sensor, epoch, count(*) as n, min(t) as smallest, max(t) as largest, cast(sum(t) as bigint) as total from deltas group by 1, 2")
 def residual_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = delta.time(delta.by_epoch(s.epochs(spark, sf_dir)))
+    r = delta.time(delta.by_epoch(s.epochs(spark, sf_dir, s.every)))
     return r.groupBy("sensor", "epoch").agg(F.count(F.lit(1)).alias("n"), F.min("residual").alias("smallest"), F.max("residual").alias("largest"), F.sum("residual").alias("total"))

@@ -1,7 +1,8 @@
 """The signal that the queries work on, made from the ``events`` table.
 
 A sensor is an event type (in order of name), a sample the row number by time, a value the event's
-value times 256, rounded.  Sensors are cut to the length of the shortest one, so there are no gaps.
+value times 256, rounded.  Operators on single sensors work on all samples (``every``); those on
+matrices need sensors of one length, so for them all are cut to the shortest one (``dense``).
 """
 
 from __future__ import annotations
@@ -27,26 +28,31 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.join(F.broadcast(sensors), "event_type")
 
 
+def every(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sensor, sample, value (integers), of all events."""
+    return sparse(spark, sf_dir).select("sensor", "sample", F.round(F.col("value") * 256).cast("long").alias("value"))
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sensor, sample, value (integers)."""
-    rows = sparse(spark, sf_dir).select("sensor", "sample", F.round(F.col("value") * 256).cast("long").alias("value"))
+    """sensor, sample, value (integers), without gaps in the matrix."""
+    rows = every(spark, sf_dir)
     counts = table(spark, sf_dir, "events").groupBy("event_type").count()
     shortest = counts.agg(F.min("count").alias("_n"))
     return rows.join(F.broadcast(shortest), F.col("sample") < F.col("_n")).drop("_n")
 
 
-def physical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense(spark, sf_dir).withColumn("value", F.col("value") / 256.0)
+def physical(spark: SparkSession, sf_dir: str, signal_of=dense) -> DataFrame:
+    return signal_of(spark, sf_dir).withColumn("value", F.col("value") / 256.0)
 
 
-def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal.with_epochs(dense(spark, sf_dir), EPOCH)
+def epochs(spark: SparkSession, sf_dir: str, signal_of=dense) -> DataFrame:
+    return signal.with_epochs(signal_of(spark, sf_dir), EPOCH)
 
 
-def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def smooth(spark: SparkSession, sf_dir: str, signal_of=dense) -> DataFrame:
     """A signal that makes all methods win somewhere: sensors 0 a ramp, 1 a parabola, 2 the same
     with small noise, 3 extremes in turn, 4 noise."""
-    base = dense(spark, sf_dir)
+    base = signal_of(spark, sf_dir)
     noise = F.col("value")
     at = F.col("sample")
     value = (
@@ -73,12 +79,23 @@ dense as (
   select sensor, sample, value from sparse
   where sample < (select min(n) from (select count(*) as n from events group by event_type)))
 """
-EPOCHS_SQL = f"""{DENSE_SQL}, epochs as (select sensor, sample, value, sample // {EPOCH} as epoch, sample % {EPOCH} as "offset" from dense)"""
-SMOOTH_SQL = f"""{DENSE_SQL}, smooth as (
+
+
+def epochs_sql(source: str) -> str:
+    """CTE ``epochs``: sensor, sample, value, epoch, offset of ``dense``, or of ``sparse``: all samples."""
+    return f"""{DENSE_SQL}, epochs as (select sensor, sample, value, sample // {EPOCH} as epoch, sample % {EPOCH} as "offset" from {source})"""
+
+
+def smooth_sql(source: str) -> str:
+    """CTE ``smooth``, of ``dense`` or ``sparse``."""
+    return f"""{DENSE_SQL}, smooth as (
   select sensor, sample, sample // {EPOCH} as epoch, cast(case sensor
     when 0 then sample * 7 when 1 then sample * sample when 2 then sample * sample + ((value % 3) + 3) % 3
     when 3 then case when sample % 2 = 0 then -2147483648 else 2147483647 end else value end as bigint) as value
-  from dense)"""
+  from {source})"""
+
+
+EPOCHS_SQL, SMOOTH_SQL = epochs_sql("dense"), smooth_sql("dense")
 
 
 def wrapped(x: str) -> str:

@@ -202,6 +202,32 @@ def test_stream(spark, tmp_path):
     assert r.sample_count == 500 and got.exceptAll(src).count() == 0 and src.exceptAll(got).count() == 0
 
 
+def test_stream_reads_open_batches_only(spark, tmp_path):
+    src = [(s, k, s * 1000 + k * 7) for k in range(40) for s in range(2)]
+    s = EpochStream(spark, f"{tmp_path}/out", 2, 4)
+    send = lambda rows, k: s.append(spark.createDataFrame(rows, "sensor int, sample long, value int"), k)
+    told = lambda: (s._last_commit().first, s._last_commit().since)
+    late = src[8:10]  # of epoch 1
+    send(src[:8], 0)
+    assert told() == (1, 1)
+    send(src[10:30], 1)  # epochs 1 (open), 2, and half of 3
+    assert told() == (1, 1) and s.committed() == 1 and s.epochs().count() == 2
+    send([], 2)
+    assert told() == (1, 1)
+    send(late + src[10:14], 3)  # repeated samples count once
+    send(late + src[10:14], 3)
+    assert told() == (3, 1) and s.epochs().count() == 3
+    send(src[30:76], 4)
+    assert told() == (9, 4) and s._numbers("staged", "batch=") == [1, 2, 3, 4] and s._numbers("log", "") == [3, 4]
+    with pytest.raises(DataError):
+        send(late, 3)
+    send(src[76:78], 5)
+    assert s._numbers("staged", "batch=") == [4, 5]
+    s.finish(f"{tmp_path}/s.cnt", series(2, 4))
+    got = {tuple(x) for x in api.Recording(spark, f"{tmp_path}/s.cnt").signal().select("sensor", "sample", "value").collect()}
+    assert got == set(src[:78])
+
+
 def test_event_journal(spark, tmp_path):
     path = f"{tmp_path}/j.evt"
     w = api.EventWriter(path)

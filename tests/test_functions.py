@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tracelake.errors import DataError, LimitError
 from tracelake.functions import dates, leb128, text
-from tracelake.operators import validate
+from tracelake.operators import events, validate
 from tracelake.sources import container
 
 
@@ -73,7 +73,23 @@ def test_header_rules(spark):
 
 def test_chunk_kinds(spark):
     df = spark.createDataFrame([("RIFF", "CNT "), ("LIST", "raw3"), ("LIST", "stdd"), ("eeph", ""), ("evt ", ""), ("xevt", ""), ("usr ", "")], "id string, label string")
-    assert [r[0] for r in df.select(validate.chunk_kind(F.col("id"), F.col("label"))).collect()] == ["root", "raw3", "unsupported", "eeph", "triggers", "satellite", "user"]
+    assert [r[0] for r in df.select(validate.chunk_kind(F.col("id"), F.col("label"))).collect()] == ["root", "raw3", "deviation", "eeph", "triggers", "satellite", "user"]
+
+
+def test_variants(spark):
+    rows = [("i2", False, ["-3"]), ("u4", False, ["4294967295"]), ("r4", True, ["0.5", "2.0"]), ("r8", False, ["0.25"]), ("bool", False, ["1"]), ("bstr", False, ["é"]), ("empty", False, []), (None, None, None)]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "k int, d struct<type:string,is_array:boolean,data:array<string>>")
+    d = F.col("d")
+    wanted = [(t, False) for t in ("i2", "u4", "r8", "bool", "bstr")] + [("r4", True)]
+    got = df.select(*[events.value_as(d, t, a).alias(t) for t, a in wanted], *[events.holds(d, t, a).alias(f"is_{t}") for t, a in wanted]).orderBy("k").collect()
+    for t, v, at in (("i2", -3, 0), ("u4", 4294967295, 1), ("r4", [0.5, 2.0], 2), ("r8", 0.25, 3), ("bool", True, 4), ("bstr", "é", 5)):
+        assert [r[t] for r in got] == [v if k == at else None for k in range(8)]
+        assert [r[f"is_{t}"] for r in got] == [k == at for k in range(8)]
+
+
+def test_event_by_index(spark):
+    df = spark.createDataFrame([(5, "b"), (2, "a"), (9, "c")], "ordinal long, x string")
+    assert [[r["x"] for r in events.event_at(df, i).collect()] for i in (-1, 0, 2, 3)] == [[], ["a"], ["c"], []]
 
 
 def test_electrode_text():
@@ -104,6 +120,8 @@ def test_ranges_by_recording(spark):
     assert [(r["fpos"], r["size"], r["valid"]) for r in got] == [(100, 5, True), (105, 4, True), (100, 3, True), (103, 0, False), (103, 6, True)]
     ranges = spark.createDataFrame([(0, 10, 5), (1, 15, 0), (2, 12, 3), (3, 20, 1)], "epoch long, fpos long, size long")
     assert [r["valid"] for r in validate.increasing_ranges(ranges).orderBy("epoch").collect()] == [True, False, False, True]
+    for bucket in (1, 2):
+        assert [r["valid"] for r in validate.increasing_ranges(ranges, bucket=bucket).orderBy("epoch").collect()] == [True, False, False, True]
     lengths = spark.createDataFrame([("a", 0, 4), ("a", 1, 2), ("b", 0, 1)], "recording string, epoch long, length long")
     assert [r["sample_count"] for r in signal.running_total(lengths, keys=("recording",)).orderBy("recording", "epoch").collect()] == [4, 6, 1]
 

@@ -23,6 +23,24 @@ def _scalar(d: Column, kind: str) -> Column:
     return F.when((d["type"] == kind) & ~d["is_array"] & (F.size(d["data"]) == 1), d["data"][0])
 
 
+#: Column types of a descriptor's value, by its type.
+VALUE_TYPES = {"i1": "tinyint", "i2": "smallint", "i4": "int", "u1": "smallint", "u2": "int", "u4": "bigint", "r4": "float", "r8": "double", "bstr": "string", "bool": "boolean"}
+
+
+def holds(d: Column, kind: str, array: bool = False) -> Column:
+    """True if a descriptor's value has that type; false for null."""
+    return F.coalesce((d["type"] == kind) & (d["is_array"] == array), F.lit(False))
+
+
+def value_as(d: Column, kind: str, array: bool = False) -> Column:
+    """A descriptor's value as that type; null if it has another one."""
+    own = VALUE_TYPES[kind]
+    typed = (lambda x: x.cast("int").cast(own)) if kind == "bool" else (lambda x: x.cast(own))
+    if array:
+        return F.when(holds(d, kind, True), F.transform(d["data"], typed))
+    return F.when(holds(d, kind) & (F.size(d["data"]) == 1), typed(F.get(d["data"], 0)))
+
+
 def is_impedance() -> Column:
     d = _first(archive.IMPEDANCE)
     return (F.col("class") == "marker") & F.coalesce((d["type"] == "r4") & d["is_array"], F.lit(False))
@@ -74,7 +92,7 @@ def epoch_events(events: DataFrame) -> DataFrame:
 
 def event_at(table: DataFrame, i: int) -> DataFrame:
     """The i-th event of a public kind, from 0, in the order of the archive; empty if there is none."""
-    return table.withColumn("_i", F.row_number().over(Window.orderBy("ordinal")) - 1).where(F.col("_i") == i).drop("_i")
+    return table.orderBy("ordinal").offset(i).limit(1) if i >= 0 else table.limit(0)
 
 
 def counts(events: DataFrame) -> DataFrame:

@@ -15,9 +15,11 @@ from tracelake.errors import DataError, LimitError
 
 MAX_SENSORS = 1 << 15
 MAX_INT64 = (1 << 63) - 1
+#: Epochs that one window takes; between windows only sums and first offsets go on.
+BUCKET = 1 << 16
 
 
-def sample_numbers(df: DataFrame, group: str, time: str, tie: str, bucket: str = "day", name: str = "sample") -> DataFrame:
+def sample_numbers(df: DataFrame, group: str, time: str, tie: str, bucket: str = "hour", name: str = "sample") -> DataFrame:
     """Number the rows of each group from 0 by (time, tie).
 
     A window over a whole group would sort it in one task.  Rows are numbered inside buckets of
@@ -67,37 +69,42 @@ def epoch_table(spark: SparkSession, total: int, length: int) -> DataFrame:
     return spark.range(0, -(-total // length)).select(F.col("id").alias("epoch"), first.alias("first_sample"), F.least(F.lit(length), F.lit(total) - first).cast("long").alias("length"))
 
 
-def running_offsets(sizes: DataFrame, size: str, bucket: int, order: str = "epoch", name: str = "offset") -> DataFrame:
+def running_offsets(sizes: DataFrame, size: str, bucket: int = BUCKET, order: str = "epoch", name: str = "offset", keys: tuple[str, ...] = ()) -> DataFrame:
     """``name``: where each row starts if all lie one after the other by ``order`` (whole numbers).
+    ``keys`` tell recordings apart.
 
     Rows are summed up inside buckets of ``bucket`` orders, and each bucket starts where the sums of
     those before it end; only the sums (one row a bucket) are taken in order.
     """
-    at = F.floor(F.col(order) / bucket).cast("long")
-    sums = sizes.groupBy(at.alias("_bucket")).agg(F.sum(size).alias("_sum"))
-    starts = sums.select("_bucket", (F.sum("_sum").over(Window.orderBy("_bucket")) - F.col("_sum")).alias("_start"))
-    own = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = sizes.withColumn("_bucket", at).withColumn("_upto", F.sum(size).over(own))
-    return inside.join(starts, "_bucket").withColumn(name, F.col("_start") + F.col("_upto") - F.col(size)).drop("_bucket", "_start", "_upto")
+    by = [*keys, "_bucket"]
+    cut_up = sizes.withColumn("_bucket", F.floor(F.col(order) / bucket).cast("long"))
+    sums = cut_up.groupBy(*by).agg(F.sum(size).alias("_sum"))
+    starts = sums.select(*by, (F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_sum")).alias("_start"))
+    own = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut_up.withColumn("_upto", F.sum(size).over(own))
+    return inside.join(starts, by).withColumn(name, F.col("_start") + F.col("_upto") - F.col(size)).drop("_bucket", "_start", "_upto").select(*sizes.columns, name)
 
 
-def offsets_to_ranges(offsets: DataFrame, size: int, first: int = 0, keys: tuple[str, ...] = (), bucket: int | None = None) -> DataFrame:
-    """(epoch, offset) to (epoch, fpos, size), the last one up to the end of the data; rows whose
-    size is not positive are data errors, and so marked in ``valid``.  ``keys`` tell recordings apart.
+def beside(df: DataFrame, value: str, step: int, name: str, bucket: int = BUCKET, keys: tuple[str, ...] = (), order: str = "epoch") -> DataFrame:
+    """``name``: ``value`` of the row before (``step`` -1) or after (1) by ``order``; null if there is none.
 
-    ``bucket``: of so many epochs each, windows are taken one by one; only the first offset of each
-    bucket goes to the one before.  Without it a recording is one window.
+    Windows are taken bucket by bucket; only one value of each bucket goes to its neighbour.
     """
-    if bucket is None:
-        after = F.lead("offset", 1).over(Window.partitionBy(*keys).orderBy("epoch"))
-    else:
-        offsets = offsets.withColumn("_bucket", F.floor(F.col("epoch") / bucket).cast("long"))
-        firsts = offsets.groupBy(*keys, "_bucket").agg(F.min_by("offset", "epoch").alias("_first"))
-        nexts = firsts.select(*keys, "_bucket", F.lead("_first", 1).over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_next"))
-        offsets = offsets.join(nexts, [*keys, "_bucket"])
-        after = F.coalesce(F.lead("offset", 1).over(Window.partitionBy(*keys, "_bucket").orderBy("epoch")), F.col("_next"))
-    span = F.coalesce(after, F.lit(size)) - F.col("offset")
-    return offsets.select(*keys, "epoch", (F.col("offset") + first).alias("fpos"), span.alias("size"), (span > 0).alias("valid"))
+    by = [*keys, "_bucket"]
+    cut_up = df.withColumn("_bucket", F.floor(F.col(order) / bucket).cast("long"))
+    edge = (F.min_by if step > 0 else F.max_by)(value, order)
+    edges = cut_up.groupBy(*by).agg(edge.alias("_edge"))
+    shift = F.lead if step > 0 else F.lag
+    others = edges.select(*by, shift("_edge", 1).over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_other"))
+    near = shift(value, 1).over(Window.partitionBy(*by).orderBy(order))
+    return cut_up.join(others, by).withColumn(name, F.coalesce(near, F.col("_other"))).select(*df.columns, name)
+
+
+def offsets_to_ranges(offsets: DataFrame, size: int, first: int = 0, keys: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
+    """(epoch, offset) to (epoch, fpos, size), the last one up to the end of the data; rows whose
+    size is not positive are data errors, and so marked in ``valid``.  ``keys`` tell recordings apart."""
+    span = F.coalesce(F.col("_after"), F.lit(size)) - F.col("offset")
+    return beside(offsets, "offset", 1, "_after", bucket, keys).select(*keys, "epoch", (F.col("offset") + first).alias("fpos"), span.alias("size"), (span > 0).alias("valid"))
 
 
 def column_major(signal: DataFrame, sensors: int, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -196,7 +203,6 @@ def natural_order(spark: SparkSession, sensors: int) -> DataFrame:
     return spark.range(sensors).select(F.col("id").cast("int").alias("sensor"))
 
 
-def running_total(epochs: DataFrame, length: str = "length", keys: tuple[str, ...] = ()) -> DataFrame:
+def running_total(epochs: DataFrame, length: str = "length", keys: tuple[str, ...] = (), bucket: int = BUCKET) -> DataFrame:
     """Samples up to the end of each epoch (one row an epoch; ``keys`` tell recordings apart)."""
-    upto = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    return epochs.withColumn("sample_count", F.sum(length).over(upto))
+    return running_offsets(epochs, length, bucket, name="sample_count", keys=keys).withColumn("sample_count", F.col("sample_count") + F.col(length))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions import text
+from tracelake.operators import signal
 
 
 def _fits(s: Column, n: int) -> Column:
@@ -57,10 +58,10 @@ def valid_order(order: Column) -> Column:
     return F.coalesce(F.array_sort(order.cast("array<int>")) == F.when(F.size(order) > 0, F.sequence(F.lit(0), F.size(order) - 1)), F.lit(False))
 
 
-def increasing_ranges(ranges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def increasing_ranges(ranges: DataFrame, keys: tuple[str, ...] = (), bucket: int = signal.BUCKET) -> DataFrame:
     """``ranges`` (epoch, fpos, size) with ``valid``: not empty, and after the one before."""
-    before = F.lag("fpos", 1, -1).over(Window.partitionBy(*keys).orderBy("epoch"))
-    return ranges.withColumn("valid", (F.col("size") > 0) & (F.col("fpos") > before))
+    before = F.coalesce(F.col("_before"), F.lit(-1))
+    return signal.beside(ranges, "fpos", -1, "_before", bucket, keys).withColumn("valid", (F.col("size") > 0) & (F.col("fpos") > before)).drop("_before")
 
 
 def same_series(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
@@ -69,10 +70,10 @@ def same_series(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
 
 
 def chunk_kind(ident: Column, label: Column) -> Column:
-    """What a chunk of a container is."""
+    """What a chunk of a container is; averages, deviations and wavelets are known but not read."""
     return (
         F.when(ident.isin("RIFF", "RF64"), "root")
-        .when(ident == "LIST", F.when(label.isin("rawf", "stdd", "tfd "), "unsupported").when(label == "raw3", "raw3").otherwise("list"))
+        .when(ident == "LIST", F.when(label == "rawf", "average").when(label == "stdd", "deviation").when(label == "tfd ", "wavelet").when(label == "raw3", "raw3").otherwise("list"))
         .when(ident.isin("eeph", "info", "ep  ", "chan", "data"), F.trim(ident))
         .when(ident == "evt ", "triggers")
         .when(ident.isin("xevt", "xseg", "xsen", "xtrg"), "satellite")

@@ -98,8 +98,6 @@ def epoch_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OFFSETS = "select cast(o_orderkey as bigint) as epoch, sum(cast(floor(o_totalprice) as bigint) + 1) over (order by o_orderkey) - cast(floor(o_totalprice) as bigint) - 1 as \"offset\" from orders"
-#: Epochs of one window.
-BUCKET = 1 << 16
 
 
 @query(f"""with o as ({_OFFSETS}), e as (select sum(cast(floor(o_totalprice) as bigint) + 1) as total from orders)
@@ -108,7 +106,7 @@ def epoch_offsets_to_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index of all orders, whose data end with the last one."""
     sizes = s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("epoch"), (F.floor("o_totalprice").cast("long") + 1).alias("size"))
     end = sizes.agg(F.sum("size")).first()[0] or 0
-    return signal.offsets_to_ranges(signal.running_offsets(sizes, "size", BUCKET).select("epoch", "offset"), end, 10, bucket=BUCKET)
+    return signal.offsets_to_ranges(signal.running_offsets(sizes, "size").select("epoch", "offset"), end, 10)
 
 
 @query(f"with {DENSE_SQL} select storage_row, sample, value from sparse join {ORDER_SQL} using (sensor)")

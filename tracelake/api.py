@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import logging
 import math
 import os
 from dataclasses import asdict, dataclass
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from tracelake import schema
 from tracelake.errors import BugError, DataError, LimitError
 from tracelake.functions import codec, dates, text
+from tracelake.logs import log, logged, message, set_logger  # noqa: F401 - part of the interface
 from tracelake.operators import codec as codecs
 from tracelake.operators import events as event_ops
 from tracelake.operators import signal as signals
@@ -24,8 +24,6 @@ from tracelake.sources import archive, container
 from tracelake.sources.files import open_file, plain_path
 from tracelake.sources.formats import register
 
-log = logging.getLogger("tracelake")
-
 
 def electrode(label: str, reference: str = "", unit: str = text.DEFAULT_UNIT, iscale: float = text.DEFAULT_ISCALE, rscale: float | None = None, status: str = "", type: str = "") -> dict:  # noqa: A002
     """An electrode; scales default to 1 and, for uV, 1/256."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate, jaccard, packing, quality, secrets
-from tracelake.llm.common import cut, id_crc, small_batches, table
+from tracelake.llm.common import cut, id_crc, release, small_batches, table
 from tracelake.llm.queries import tokenizer_path
 
 
@@ -72,7 +72,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written before the next reads it."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs)
+            if k:
+                release(before)
     return docs

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows, and bytes, of whole texts that go to Python at a time.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
+#: Spark's setting that removes the shuffle files of a frame once it has run.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,16 +23,34 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``.  Where none is configured, a local
     session gets one of our own and a cluster an error, as executors elsewhere couldn't read it.
-    The files survive the loss of any executor and are removed once the frame is garbage
-    collected, if the cluster enables that.
+    The files survive the loss of any executor and are removed by ``release``, or once the frame is
+    garbage collected, if the cluster enables that.  Shuffle files behind them go at once: a driver
+    with little garbage would keep them, several times the input, until the end.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint(eager=True)
+    was = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a frame has the setting of when it was made
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, was)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove the files of frames that ``cut`` made and nothing reads any more."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut
+from tracelake.llm.common import cut, release
 
 MAX_ROUNDS = 60
 
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = down(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = cut(down(small))
+        before, now = now, cut(down(small))
+        release(before)
         told = now.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("children")).first()
         if told["n"] == told["children"] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, fresh, tidy
+from tracelake.llm.common import cut, fresh, release, tidy
 from tracelake.llm.components import components
 
 SHINGLE = 5
@@ -188,6 +188,7 @@ def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
             break
         least = step
     rows = found.where(level >= least).select("gram").collect() if least is not None else []
+    release(found)
     return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
@@ -333,13 +334,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             )
         tidy()
 
-    rows = cut(docs.mapInPandas(signed, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+    banded = cut(docs.mapInPandas(signed, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+    rows = cut(banded.drop("bands"))  # the bands go as soon as they have been met
     with_set = rows.where("h1 is not null")
     found = with_set.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = cut(found.withColumn("c", F.monotonically_increasing_id()))  # written, so the numbers stay
 
     # Ties to the smallest first hash of a band.  Two classes with one first hash are only tied by it
-    tied = components(_ties(with_set.select("doc_id", F.col("h1").alias("g"), "bands"), hot_band))
+    tied = components(_ties(banded.where("h1 is not null").select("doc_id", F.col("h1").alias("g"), "bands"), hot_band))
+    release(banded)
     roots = tied.select(F.col("root").alias("h1"), F.col("root").alias("comp")).distinct()
     members = cut(classes.join(tied.select(F.col("node").alias("h1"), F.col("root").alias("comp")).unionByName(roots), "h1"))
 

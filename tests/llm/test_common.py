@@ -3,6 +3,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tracelake.llm import secrets
 from tracelake.llm.common import cut, release
 
 
@@ -31,3 +32,11 @@ def test_release_removes_the_files(spark):
     assert path(gone).is_dir()
     release(gone)
     assert not path(gone).exists() and path(kept).is_dir() and kept.count() == 50
+
+
+def test_fit_holds_each_name_once(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(secrets.Crf, "fit", staticmethod(lambda chains: got.extend((list(rows), tags) for rows, tags in chains)))
+    secrets.fit_crf(spark.createDataFrame([(k, f"some words and token = abcdef{k}23, more") for k in range(20)], "doc_id long, text string"))
+    names = [f for rows, _ in got for r in rows for f in r]
+    assert len(got) > 20 and len({id(f) for f in names}) == len(set(names)) < len(names)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import each
+from tracelake.llm.common import each, tidy
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -211,7 +211,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     spark = docs.sparkSession
     by_id = spark.createDataFrame([(r["key"], r["label"]) for r in ids], "key long, label int")
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(by_id), "key").select("label", "text").limit(fit_docs).collect()
-    return SubwordModel.fit([r["text"] for r in rows], [r["label"] for r in rows])
+    model = SubwordModel.fit([r["text"] for r in rows], [r["label"] for r in rows])
+    del rows, ids
+    tidy()
+    return model
 
 
 def score_quality(df: DataFrame, model: SubwordModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

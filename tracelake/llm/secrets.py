@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import each, fresh, least_hashes
+from tracelake.llm.common import each, fresh, least_hashes, tidy
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Documents the fit reads, about; each gives at most FIT_EACH chains of a sort, of FIT_LONGEST
@@ -362,7 +362,7 @@ class Crf:
         for at in range(0, len(order), batch):
             own = [chains[k] for k in order[at : at + batch]]
             longest = max(len(tags) for _, tags in own)
-            f = np.full((len(own), longest, widest), len(names))
+            f = np.full((len(own), longest, widest), len(names), np.int32)
             y = np.zeros((len(own), longest), np.int64)
             for i, (rows, tags) in enumerate(own):
                 y[i, : len(tags)] = tags
@@ -542,8 +542,20 @@ def fit_crf(df: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: in
     # a few texts, dealt out: however the table is stored, all tasks share the work
     dealt = sample.select(F.xxhash64(order, "text").alias("h"), "text").repartition(min(64, df.sparkSession.sparkContext.defaultParallelism), "h")
     found = dealt.mapInPandas(taken, "h long, i int, rows array<string>, tags array<int>")
-    rows = sorted(found.collect(), key=lambda r: (r["h"], r["i"]))
-    return Crf.fit([([x.split(" ") for x in r["rows"]], list(r["tags"])) for r in rows]) if rows else None
+    rows = sorted(found.collect(), key=lambda r: (r["h"], r["i"]), reverse=True)
+    if not rows:
+        return None
+    # The driver holds each name once, and a row or what became of it
+    names: dict[str, str] = {}
+    chains = []
+    while rows:
+        r = rows.pop()
+        chains.append(([[names.setdefault(f, f) for f in x.split(" ")] for x in r["rows"]], list(r["tags"])))
+    try:
+        return Crf.fit(chains)
+    finally:
+        del chains, names
+        tidy()
 
 
 def spans_of(texts: list[str], crf: Crf | None, margin: float = MARGIN) -> list[list[tuple[str, int, int]]]:

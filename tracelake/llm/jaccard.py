@@ -14,8 +14,11 @@ formed as a whole: bounds that follow from the sizes say which blocks can hold a
    Bands are made for the size class of the set, and for the next one if a larger partner may be
    there.
 3. Components of "shares a band" (each class tied to the smallest of its band, no pairs) are the
-   blocks.  Large ones are cut into tiles by size class and hash, and only tiles whose sizes may
-   link meet.
+   blocks.  Those larger than a tile are split first: chance ties chain ever more classes as a table
+   grows.  There bands are finer and counted, each set drops its most frequent ones, and classes that
+   only meet in rare bands are tied if they share as many as linked sets must.  What is still large
+   is cut into tiles by size class and hash, and only tiles whose sizes may link meet, in as many
+   passes as keep what a pass shuffles in proportion to the sets.
 4. In a block the overlap counts are accumulated by products of slices of columns; pairs below the
    size-derived bound go.  A block reports its links' spanning forest, at most one link a class.
 
@@ -53,6 +56,11 @@ HOT_MOST = 50_000
 HOT_BAND = 1 << 18
 HOT_BANDS = 100_000
 BAND_SAMPLE = 64
+#: Sets of a band up to which its pairs are counted.
+PAIR_ROWS = 16
+#: N-grams that one pass sends to blocks, at least; or PASS_SHARE times those of all sets in blocks.
+PASS_GRAMS = 1 << 25
+PASS_SHARE = 2
 #: Columns multiplied at a time; those of fewer rows are counted pair by pair.
 COLUMNS = 2048
 FEW_ROWS = 24
@@ -150,6 +158,25 @@ def bands(grams: np.ndarray, percent: int = PERCENT, hot: np.ndarray | None = No
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def fine_bands(grams: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.ndarray]]:
+    """(k, spare, bands) for each size class of a larger partner: two sets that link, the larger one
+    in class k, share at least 1 + spare of the bands for k, unless they are equal."""
+    n, out = len(grams), []
+    classes = _size_classes(percent)
+    own = int(np.searchsorted(classes, n, side="right")) - 1
+    total = np.concatenate(([_U(0)], np.cumsum(_mix(grams + _U(0x51ED270B)))))
+    for k in (own, own + 1):
+        m, spare = _ranges(k, percent)
+        if not m or (k > own and n * 100 < classes[k] * percent):
+            continue
+        d = m - 1 - spare
+        spare = max(spare, d)
+        m = d + 1 + spare
+        edge = np.concatenate(([0], np.searchsorted(grams, _bounds(m)), [n]))
+        out.append((k, spare, _mix(_mix(total[edge[1:]] - total[edge[:-1]] + _U(k) + _U(0x632BE59B)) + np.arange(m, dtype=np.uint64))))
+    return out
+
+
 def hot_grams(docs: DataFrame, n: int) -> np.ndarray:
     """Common n-grams of a table (doc_id, text), sorted; a bounded number of them."""
 
@@ -308,7 +335,45 @@ def _ties(sets: DataFrame, hot_band: int) -> DataFrame:
     return by_band(banded.join(F.broadcast(hot), "band", "left_anti")).unionByName(tied(apart.join(F.broadcast(least), "band")))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS, hot_band: int = HOT_BAND) -> DataFrame:
+def _fine_ties(docs: DataFrame, wide: DataFrame, n: int, percent: int, pair_rows: int = PAIR_ROWS) -> DataFrame:
+    """Pairs (u, v) that tie all classes of ``wide`` (c, h1, h2, rep) which link.
+
+    Two sets that link share 1 + spare bands at least.  In an order that all sets have in common, the
+    most frequent first, each drops its first spare / 2: 1 + spare - spare / 2 shared ones stay.  If
+    one of them is in more than ``pair_rows`` sets, both are tied to that band's smallest class; if
+    none is, the pair is counted that often among the pairs of the others.
+    """
+
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for c, h1, h2, x in zip(pdf["c"], pdf["h1"], pdf["h2"], pdf["text"], strict=True):
+                own = shingles(x, n)
+                if len(own) and _class_of(own) == (h1, h2):
+                    rows += [(c, k, spare, b.view(np.int64)) for k, spare, b in fine_bands(own, percent)]
+            yield pd.DataFrame(rows, columns=["c", "k", "spare", "bands"])
+        tidy()
+
+    texts = docs.join(wide.select("c", "h1", "h2", "rep"), docs["doc_id"] == wide["rep"]).select("c", "h1", "h2", "text")
+    sets = cut(texts.mapInPandas(banded, "c long, k int, spare int, bands array<long>").distinct())
+    rows = sets.select("c", "k", "spare", F.explode("bands").alias("band"))
+    met = cut(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "band"))
+    release(sets)
+    order = Window.partitionBy("c", "k").orderBy(F.desc("f"), "band")
+    gone = F.floor(F.col("spare") / 2)
+    kept = cut(met.withColumn("at", F.row_number().over(order)).where(F.col("at") > gone).select("c", "k", "spare", "band", "f"))
+    release(met)
+    apart = kept.where(F.col("f") > pair_rows)
+    stars = apart.join(apart.groupBy("band").agg(F.min("c").alias("least")), "band").select(F.col("c").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
+    few = kept.where(F.col("f") <= pair_rows).groupBy("band", "k", "spare").agg(F.collect_list("c").alias("own")).where(F.size("own") > 1)
+    pairs = few.select("k", "spare", F.explode("own").alias("u"), "own").select("k", "spare", "u", F.explode("own").alias("v")).where("u > v")
+    often = pairs.groupBy("u", "v", "k", "spare").count().where(F.col("count") >= 1 + F.col("spare") - gone)
+    ties = cut(stars.unionByName(often.select("u", "v")))
+    release(kept)
+    return ties
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT, tile_rows: int = TILE_ROWS, tile_grams: int = TILE_GRAMS, hot_band: int = HOT_BAND, pass_grams: int = PASS_GRAMS) -> DataFrame:
     """One row a row of ``df``: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Null and wordless texts have 0 n-grams and link with nothing (component_id is their own id).
@@ -345,6 +410,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     release(banded)
     roots = tied.select(F.col("root").alias("h1"), F.col("root").alias("comp")).distinct()
     members = cut(classes.join(tied.select(F.col("node").alias("h1"), F.col("root").alias("comp")).unionByName(roots), "h1"))
+    large = cut(members.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams")).where((F.col("rows") > tile_rows) | (F.col("grams") > tile_grams)).select("comp"))
+    if not large.isEmpty():
+        wide = members.join(large, "comp", "left_semi")
+        split = components(_fine_ties(docs, wide, n, percent))
+        roots = split.select(F.col("root").alias("c"), F.col("root").alias("comp")).distinct()
+        finer = split.select(F.col("node").alias("c"), F.col("root").alias("comp")).unionByName(roots)
+        members = cut(members.join(large, "comp", "left_anti").unionByName(wide.drop("comp").join(finer, "c").select(*members.columns)))
 
     # Blocks
     sizes = F.array(*[F.lit(x) for x in _size_classes(percent)[:64]])
@@ -371,7 +443,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     )
     block = F.when(F.col("tiles").isNull(), F.array(F.concat(F.lit("s"), F.pmod(F.xxhash64("comp"), F.lit(shared)).cast("string")))).otherwise(meets)
     tile = F.when(F.col("tiles").isNull(), "").otherwise(F.concat_ws("|", F.format_string("%03d", lev), own.cast("string")))
-    placed = members.join(per_comp.select("comp", "tiles"), "comp").select("c", "h1", "h2", "comp", "rep", block.alias("blocks"), tile.alias("tile"))
+    placed = members.join(per_comp.select("comp", "tiles"), "comp").select("c", "h1", "h2", "comp", "rep", block.alias("blocks"), tile.alias("tile"), "n")
+    sent = placed.agg(F.sum(F.col("n") * F.size("blocks"))).first()[0] or 0
+    passes = -(-sent // max(pass_grams, PASS_SHARE * total))
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -382,8 +456,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
     texts = docs.join(placed, docs["doc_id"] == placed["rep"])
     sets = texts.select("c", "h1", "h2", "comp", "tile", "blocks", "text").mapInPandas(gathered, "c long, comp long, tile string, blocks array<string>, grams binary")
-    in_blocks = sets.select("c", "comp", "tile", "grams", F.explode("blocks").alias("block"))
-    links = in_blocks.groupBy("block").applyInPandas(lambda pdf: block_links(pdf, percent), "u long, v long")
+    if passes > 1:
+        sets = cut(sets)
+
+    def met(k: int) -> DataFrame:
+        here = F.filter("blocks", lambda b: F.pmod(F.xxhash64(b), F.lit(passes)) == k) if passes > 1 else F.col("blocks")
+        in_blocks = sets.select("c", "comp", "tile", "grams", F.explode(here).alias("block"))
+        return in_blocks.groupBy("block").applyInPandas(lambda pdf: block_links(pdf, percent), "u long, v long")
+
+    links = met(0) if passes <= 1 else cut(met(0))
+    for k in range(1, passes):
+        links = links.unionByName(cut(met(k)))
+    if passes > 1:
+        release(sets)
     joined = components(links)
 
     rooted = classes.join(joined.withColumnRenamed("node", "c"), "c", "left").select("h1", "h2", "rep", F.coalesce("root", "c").alias("root"))

@@ -357,19 +357,22 @@ def _fine_ties(docs: DataFrame, wide: DataFrame, n: int, percent: int, pair_rows
     texts = docs.join(wide.select("c", "h1", "h2", "rep"), docs["doc_id"] == wide["rep"]).select("c", "h1", "h2", "text")
     sets = cut(texts.mapInPandas(banded, "c long, k int, spare int, bands array<long>").distinct())
     rows = sets.select("c", "k", "spare", F.explode("bands").alias("band"))
-    met = cut(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "band"))
-    release(sets)
+    # counts and least ones are written before they are joined back, so Spark can split the joins
+    counts = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
+    met = cut(rows.join(counts, "band"))
+    release(sets, counts)
     order = Window.partitionBy("c", "k").orderBy(F.desc("f"), "band")
     gone = F.floor(F.col("spare") / 2)
     kept = cut(met.withColumn("at", F.row_number().over(order)).where(F.col("at") > gone).select("c", "k", "spare", "band", "f"))
     release(met)
     apart = kept.where(F.col("f") > pair_rows)
-    stars = apart.join(apart.groupBy("band").agg(F.min("c").alias("least")), "band").select(F.col("c").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
+    least = cut(apart.groupBy("band").agg(F.min("c").alias("least")))
+    stars = apart.join(least, "band").select(F.col("c").alias("u"), F.col("least").alias("v")).where("u != v").distinct()
     few = kept.where(F.col("f") <= pair_rows).groupBy("band", "k", "spare").agg(F.collect_list("c").alias("own")).where(F.size("own") > 1)
     pairs = few.select("k", "spare", F.explode("own").alias("u"), "own").select("k", "spare", "u", F.explode("own").alias("v")).where("u > v")
     often = pairs.groupBy("u", "v", "k", "spare").count().where(F.col("count") >= 1 + F.col("spare") - gone)
     ties = cut(stars.unionByName(often.select("u", "v")))
-    release(kept)
+    release(kept, least)
     return ties
 
 

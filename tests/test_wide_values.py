@@ -39,6 +39,11 @@ def same_as_sql(name, spark, folder):
     assert sorted(tuple(r) for r in QUERIES[name](spark, folder).select(*names).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("name", ["restore_time", "restore_time2", "restore_chan", "restore_mixed"])
+def test_restored_beyond_32_bits(name, spark, wide):
+    same_as_sql(name, spark, wide)
+
+
 @pytest.mark.parametrize("name", ["cost_per_n", "best_n", "best_method"])
 def test_sizes_beyond_32_bits(name, spark, wide):
     same_as_sql(name, spark, wide)

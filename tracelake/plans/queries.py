@@ -191,31 +191,33 @@ def delta_chan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SMOOTH_ALL = f"with {smooth_sql('sparse')} select sensor, sample, epoch, value from smooth"
 _SMOOTH = f"with {SMOOTH_SQL} select sensor, sample, epoch, value from smooth"
 _KEPT = ("sensor", "sample", "epoch", "value")
+#: Bits of the words that are restored: those of ``smooth``, which outgrows 32 bits from 46,341 samples a sensor on.
+WIDTH = 64
 
 
 @query(_SMOOTH_ALL)
 def restore_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.restore_time(delta.time(delta.by_epoch(s.smooth(spark, sf_dir, s.every))).drop("value")).select(*_KEPT)
+    return delta.restore_time(delta.time(delta.by_epoch(s.smooth(spark, sf_dir, s.every)), width=WIDTH).drop("value"), width=WIDTH).select(*_KEPT)
 
 
 @query(_SMOOTH_ALL)
 def restore_time2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.restore_time2(delta.time2(delta.by_epoch(s.smooth(spark, sf_dir, s.every))).drop("value")).select(*_KEPT)
+    return delta.restore_time2(delta.time2(delta.by_epoch(s.smooth(spark, sf_dir, s.every)), width=WIDTH).drop("value"), width=WIDTH).select(*_KEPT)
 
 
 @query(_SMOOTH)
 def restore_chan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return delta.restore_chan(delta.chan(delta.by_epoch(s.smooth(spark, sf_dir))).drop("value")).select(*_KEPT)
+    return delta.restore_chan(delta.chan(delta.by_epoch(s.smooth(spark, sf_dir)), width=WIDTH).drop("value"), width=WIDTH).select(*_KEPT)
 
 
 @query(_SMOOTH)
 def restore_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = delta.by_epoch(s.smooth(spark, sf_dir))
-    all_three = delta.chan(delta.time2(delta.time(base, out="r1"), out="r2"), out="r3")
+    all_three = delta.chan(delta.time2(delta.time(base, width=WIDTH, out="r1"), width=WIDTH, out="r2"), width=WIDTH, out="r3")
     method = F.pmod(F.col("sensor") + F.col("epoch"), F.lit(4)).cast("int")
     picked = F.when(F.col("method") == 0, F.col("value")).when(F.col("method") == 1, F.col("r1")).when(F.col("method") == 2, F.col("r2")).otherwise(F.col("r3"))
     coded = all_three.withColumn("method", method).withColumn("residual", picked.cast("long")).drop("value", "r1", "r2", "r3")
-    return delta.restore_mixed(coded).select(*_KEPT)
+    return delta.restore_mixed(coded, width=WIDTH).select(*_KEPT)
 
 
 # Sizes

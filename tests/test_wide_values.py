@@ -3,9 +3,12 @@
 import glob
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.functions import codec
+from tracelake.operators import codec as codecs
 from tracelake.plans import stand_in
 from tracelake.plans.queries import ORACLE_SQL, QUERIES
 
@@ -47,3 +50,21 @@ def test_restored_beyond_32_bits(name, spark, wide):
 @pytest.mark.parametrize("name", ["cost_per_n", "best_n", "best_method"])
 def test_sizes_beyond_32_bits(name, spark, wide):
     same_as_sql(name, spark, wide)
+
+
+def test_coded_beyond_32_bits(spark, wide):
+    same_as_sql("codec_bytes", spark, wide)
+    folded = F.col("value").bitwiseAND(F.lit((1 << 32) - 1))
+    words = F.when(folded >= 1 << 31, folded - (1 << 32)).otherwise(folded).cast("int")
+    x = stand_in.smooth(spark, wide).select("sensor", "sample", "epoch", words.alias("value"))
+    got = QUERIES["codec_roundtrip"](spark, wide)
+    assert got.exceptAll(x).count() == 0 and x.exceptAll(got).count() == 0
+
+
+def test_folding_is_asked_for(spark):
+    x = np.array([[(1 << 32) + 5, (1 << 32) + 7, 3]])
+    df = spark.createDataFrame([(0, k, int(v)) for k, v in enumerate(x[0])], "sensor int, sample long, value long")
+    with pytest.raises(Exception, match="values beyond"):
+        codecs.encode_epochs(df, 4).collect()
+    raw = bytes(codecs.encode_epochs(df, 4, fold=True).first()["data"])
+    assert codec.decode_matrix(raw, 1, 3).tolist() == [[5, 7, 3]]

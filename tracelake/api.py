@@ -237,12 +237,13 @@ def write_epochs(epochs: DataFrame, path: str, series: TimeSeries, kind: str = "
     ready.write.format("cnt_epochs").option("header", json.dumps(asdict(h))).option("embed", json.dumps(list(embed))).mode("append").save(path)
 
 
-def write_recording(signal: DataFrame, path: str, series: TimeSeries, scaled: bool = False, **more) -> None:
-    """Write a signal table (sensor, sample, value); ``scaled``: values are physical."""
+def write_recording(signal: DataFrame, path: str, series: TimeSeries, scaled: bool = False, fold: bool = False, **more) -> None:
+    """Write a signal table (sensor, sample, value); ``scaled``: values are physical.  Values beyond
+    32 bits are an error, or folded into 32 bits with ``fold``."""
     if scaled:
         table = signal.sparkSession.createDataFrame([(k, e["iscale"], e["rscale"]) for k, e in enumerate(series.electrodes)], "sensor int, iscale double, rscale double")
         signal = signals.scale_write(signal, table)
-    write_epochs(codecs.encode_epochs(signal, series.epoch_length), path, series, **more)
+    write_epochs(codecs.encode_epochs(signal, series.epoch_length, fold=fold), path, series, **more)
 
 
 def write_archive(events: list[dict], path: str, version: int = archive.DEFAULT_VERSION) -> None:

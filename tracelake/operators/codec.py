@@ -19,14 +19,14 @@ from tracelake.operators.signal import epoch_matrices, rows_to_long
 TYPES = {"int16": ("i2", "smallint"), "int32": ("i4", "int"), "int64": ("i8", "bigint"), "uint16": ("u2", "int"), "uint32": ("u4", "bigint"), "uint64": ("u8", "decimal(20,0)")}
 
 
-def _matrix(rows, dtype: str) -> np.ndarray:
+def _matrix(rows, dtype: str, fold: bool = False) -> np.ndarray:
     if rows is None or not len(rows):
         return np.zeros((0, 0), dtype)
     if dtype == "u8":
         return np.array([[int(v) for v in r] for r in rows], dtype="u8")
     x = np.stack([np.asarray(r) for r in rows])
     info = np.iinfo(dtype)
-    if x.size and (x.min() < info.min or x.max() > info.max):
+    if not fold and x.size and (x.min() < info.min or x.max() > info.max):
         raise LimitError(f"values beyond {dtype}")
     return x.astype(dtype)
 
@@ -35,14 +35,23 @@ def _transposed(x: np.ndarray, major: str) -> np.ndarray:
     return x.T if major == "column" and x.size else x
 
 
-def encoded(rows: Column, kind: str = "int32", layout: str = "compatible", order: list[int] | None = None, major: str = "row") -> Column:
+def _block(rows, dtype: str, form: codec.Layout, order: list[int] | None, major: str, fold: bool) -> bytes:
+    x = np.ascontiguousarray(_transposed(_matrix(rows, dtype, fold), major))
+    folded = None
+    if fold and x.size:
+        folded = np.array([r[0] for r in rows] if major == "row" else rows[0]) != x[:, 0]
+    return codec.encode_matrix(x, form, order, folded)
+
+
+def encoded(rows: Column, kind: str = "int32", layout: str = "compatible", order: list[int] | None = None, major: str = "row", fold: bool = False) -> Column:
     """Bytes of a matrix column (array<array>).  ``major``: its rows are sensors (row) or time
-    points (column).  Null for null; no bytes for an empty matrix."""
+    points (column).  Null for null; no bytes for an empty matrix.  Values beyond the words of
+    ``kind`` raise an error, or are folded into them (modulo 2^width) with ``fold``."""
     dtype, form = TYPES[kind][0], codec.LAYOUTS[layout]
 
     @F.pandas_udf("binary")
     def encode(matrices: pd.Series) -> pd.Series:
-        return pd.Series([None if m is None else codec.encode_matrix(np.ascontiguousarray(_transposed(_matrix(m, dtype), major)), form, order) for m in matrices], dtype=object)
+        return pd.Series([None if m is None else _block(m, dtype, form, order, major, fold) for m in matrices], dtype=object)
 
     return encode(rows)
 
@@ -77,9 +86,9 @@ def decoded(data: Column, length: Column, sensors: int, kind: str = "int32", lay
     return decode(data, length)
 
 
-def encode_epochs(signal: DataFrame, length: int, keys: tuple[str, ...] = (), layout: str = "compatible", kind: str = "int32") -> DataFrame:
+def encode_epochs(signal: DataFrame, length: int, keys: tuple[str, ...] = (), layout: str = "compatible", kind: str = "int32", fold: bool = False) -> DataFrame:
     """(epoch, length, data) of a signal table."""
-    return epoch_matrices(signal, length, keys).withColumn("data", encoded(F.col("rows"), kind, layout)).drop("rows")
+    return epoch_matrices(signal, length, keys).withColumn("data", encoded(F.col("rows"), kind, layout, fold=fold)).drop("rows")
 
 
 def decode_epochs(epochs: DataFrame, sensors: int, epoch_length: int, layout: str = "compatible", kind: str = "int32", order: list[int] | None = None) -> DataFrame:

@@ -52,9 +52,10 @@ def series(epoch: int = EPOCH) -> api.TimeSeries:
     return api.TimeSeries(256.0, [api.electrode(f"ch{k}", "ref", rscale=1 / 512 if k == 2 else None) for k in range(SENSORS)], epoch, START)
 
 
-def recorded(spark: SparkSession, signal: DataFrame, kind: str = "RIFF", **more) -> api.Recording:
+def recorded(spark: SparkSession, signal: DataFrame, kind: str = "RIFF", fold: bool = False, **more) -> api.Recording:
     path = target(spark)
-    api.write_recording(signal.withColumn("value", F.col("value").cast("int")), path, series(), kind=kind, **more)
+    x = signal if fold else signal.withColumn("value", F.col("value").cast("int"))
+    api.write_recording(x, path, series(), kind=kind, fold=fold, **more)
     return api.Recording(spark, path)
 
 
@@ -83,7 +84,7 @@ def file_signal_rf64(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {SMOOTH_SQL} select sensor, sample, epoch, cast(value as integer) as value from smooth where epoch <= 2 and sensor <= 3")
 def file_signal_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters on epoch and sensor reach the reader."""
-    return recorded(spark, s.smooth(spark, sf_dir)).signal().where("epoch <= 2 and sensor <= 3")
+    return recorded(spark, s.smooth(spark, sf_dir), fold=True).signal().where("epoch <= 2 and sensor <= 3")
 
 
 @query(f"with {DENSE_SQL} select sensor, sample, cast(value as integer) as value from dense where {RANGE}")
@@ -121,7 +122,7 @@ def file_epoch_row_major(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {q._METHOD}, n as (select epoch, count(distinct sample) as length from smooth group by epoch) select epoch, n.length as length, cast(sum(m.bytes) as bigint) as bytes from chosen join n using (epoch) group by epoch, n.length")
 def file_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded epochs as they lie in the container: lengths, and bytes as predicted."""
-    return recorded(spark, s.smooth(spark, sf_dir)).table("epochs").select("epoch", "length", F.length("data").cast("long").alias("bytes"))
+    return recorded(spark, s.smooth(spark, sf_dir), fold=True).table("epochs").select("epoch", "length", F.length("data").cast("long").alias("bytes"))
 
 
 @query(_EPOCHS)

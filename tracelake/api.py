@@ -5,11 +5,15 @@ from __future__ import annotations
 import json
 import math
 import os
+import shutil
+import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ from tracelake.operators import events as event_ops
 from tracelake.operators import signal as signals
 from tracelake.sources import archive, container
 from tracelake.sources.files import open_file, plain_path
-from tracelake.sources.formats import register
+from tracelake.sources.formats import archive_spans, register
 
 
 def electrode(label: str, reference: str = "", unit: str = text.DEFAULT_UNIT, iscale: float = text.DEFAULT_ISCALE, rscale: float | None = None, status: str = "", type: str = "") -> dict:  # noqa: A002
@@ -186,7 +190,10 @@ class Recording:
 
     # Events
     def events(self) -> DataFrame:
-        return self.spark.read.format("evt").option("layout", self.layout).load(archive.archive_path(self.path))
+        path = archive.archive_path(self.path)
+        spans = archive_spans(self.spark, path) if self.layout == "riff" else None
+        reader = self.spark.read.format("evt").option("layout", self.layout)
+        return (reader if spans is None else reader.option("spans", spans)).load(path)
 
     def impedances(self) -> DataFrame:
         return event_ops.impedances(self.events())
@@ -257,33 +264,66 @@ def write_archive(events: list[dict], path: str, version: int = archive.DEFAULT_
     os.replace(unfinished, plain_path(path))
 
 
-def write_event_table(events: DataFrame, path: str, version: int = archive.DEFAULT_VERSION) -> None:
-    """Write a table of events (see :mod:`tracelake.operators.events`; ``ordinal`` gives the order,
-    from 0 and without gaps) as an archive.  Tasks encode the events, the driver joins them a
-    partition at a time; without events there is no file."""
-    count = events.count()
-    if not count:
-        return
-    fields = ("class", "name", "type", "duration", "duration_offset", "descriptors", "description")
+def _cut(values: list, lengths: pa.Array) -> list[list]:
+    """A flat list as lists of these lengths; null counts as none."""
+    at = iter(values)
+    return [list(islice(at, n or 0)) for n in lengths.to_pylist()]
 
-    def coded(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                e = {k: r[k] for k in fields if r[k] is not None}
-                e["descriptors"] = [{**d, "data": list(d["data"])} for d in e.get("descriptors", [])]
-                out.append(archive.event_bytes({**e, "stamp": r["us"], "visible_id": r["ordinal"] + 1}, version))
-            yield pd.DataFrame({"ordinal": pdf["ordinal"], "data": out})
-
-    rows = events.select("ordinal", F.unix_micros(F.col("stamp").cast("timestamp")).alias("us"), *fields).mapInPandas(coded, "ordinal long, data binary")
-    unfinished = f"{plain_path(path)}.unfinished"
-    with open(unfinished, "wb") as f:
-        f.write(archive.archive_head(version, "", count))
-        for r in rows.orderBy("ordinal").toLocalIterator():
-            f.write(r["data"])
-    os.replace(unfinished, plain_path(path))
+def _descriptors(column: pa.ListArray) -> list[list[dict]]:
+    """Descriptors of each event.  They are flattened before they become Python objects, which is
+    much faster than a scalar for each level."""
+    flat = column.flatten()
+    columns = dict(zip([flat.type.field(i).name for i in range(flat.type.num_fields)], flat.flatten(), strict=True))
+    data = _cut(columns["data"].flatten().to_pylist(), columns["data"].value_lengths())
+    names, units, types, arrays = (columns[k].to_pylist() for k in ("name", "unit", "type", "is_array"))
+    found = [{"name": n, "unit": u, "type": t, "is_array": a, "data": d} for n, u, t, a, d in zip(names, units, types, arrays, data, strict=True)]
+    return _cut(found, column.value_lengths())
+
+
+def write_event_table(events: DataFrame, path: str, version: int = archive.DEFAULT_VERSION) -> None:
+    """Write a table of events (see :mod:`tracelake.operators.events`; ``ordinal`` gives the order,
+    from 0 and without gaps) as an archive.  Tasks write ranges of events to a staging folder beside
+    the target, which all executors must share, and the driver joins their files; without events
+    there is no file."""
+    fields = ("class", "name", "type", "duration", "duration_offset", "description")
+    target = plain_path(path)
+    staging = f"{target}_staging_{uuid.uuid4().hex}"
+
+    def written(batches):
+        os.makedirs(staging, exist_ok=True)
+        name = f"{staging}/{uuid.uuid4().hex}"  # a rerun task has a file of its own
+        first, n = None, 0
+        with open(name, "wb") as f:
+            for t in batches:
+                for at in range(0, t.num_rows, 1024):  # a slice at a time is held as Python objects
+                    part = t.slice(at, 1024)
+                    out = []
+                    for ordinal, us, found, *values in zip(part["ordinal"].to_pylist(), part["us"].to_pylist(), _descriptors(part["descriptors"]), *[part[c].to_pylist() for c in fields], strict=True):
+                        e = {k: v for k, v in zip(fields, values, strict=True) if v is not None}
+                        out.append(archive.event_bytes({**e, "descriptors": found, "stamp": us, "visible_id": ordinal + 1}, version))
+                        first = ordinal if first is None else first
+                    f.write(b"".join(out))
+                    n += len(out)
+        yield pa.RecordBatch.from_pydict({"first": pa.array([first], pa.int64()), "n": [n], "file": [name]})
+
+    rows = events.select("ordinal", F.unix_micros(F.col("stamp").cast("timestamp")).alias("us"), "descriptors", *fields)
+    # a number of ranges is given, as Spark would else merge them by their bytes, which coding makes many times more of
+    ranges = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = rows.repartitionByRange(ranges, "ordinal").sortWithinPartitions("ordinal")
+    unfinished = f"{target}.unfinished"
+    try:
+        parts = sorted((r["first"], r["n"], r["file"]) for r in in_order.mapInArrow(written, "first long, n long, file string").collect() if r["n"])
+        if not parts:
+            return
+        with open(unfinished, "wb") as f:
+            f.write(archive.archive_head(version, "", sum(n for _, n, _ in parts)))
+            for _, _, name in parts:
+                with open(name, "rb") as part:
+                    shutil.copyfileobj(part, f, 1 << 20)
+        os.replace(unfinished, target)
+    finally:
+        shutil.rmtree(staging, ignore_errors=True)
 
 
 class EventWriter:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.errors import DataError, LimitError
@@ -19,12 +19,46 @@ from tracelake.operators.signal import epoch_matrices, rows_to_long
 TYPES = {"int16": ("i2", "smallint"), "int32": ("i4", "int"), "int64": ("i8", "bigint"), "uint16": ("u2", "int"), "uint32": ("u4", "bigint"), "uint64": ("u8", "decimal(20,0)")}
 
 
+#: Epochs, and about how many bytes of them, that a task holds in Python at once.
+BATCH_EPOCHS, BATCH_BYTES = 64, 4 << 20
+
+
+def small_batches() -> None:
+    """Send few epochs at a time to Python: one is many values, which Arrow, numpy and the results
+    each hold."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    for name, most in (("maxRecordsPerBatch", BATCH_EPOCHS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(name).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
+def _words(v: Column) -> Column:
+    """Unsigned 64-bit numbers (decimals) as signed words of the same bits."""
+    most = F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")
+    signed = F.when(v > (1 << 63) - 1, v - most - 1).otherwise(v).cast("bigint")
+    return F.when(v.between(0, most), signed).otherwise(F.raise_error(F.lit("values beyond u8")).cast("bigint"))
+
+
+def _numbers(word: Column) -> Column:
+    """The inverse of :func:`_words`."""
+    number = word.cast("decimal(20,0)")
+    return F.when(word < 0, number + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(number).cast("decimal(20,0)")
+
+
+def _each(matrix: Column, f) -> Column:
+    return F.transform(matrix, lambda row: F.transform(row, f))
+
+
 def _matrix(rows, dtype: str, fold: bool = False) -> np.ndarray:
     if rows is None or not len(rows):
         return np.zeros((0, 0), dtype)
-    if dtype == "u8":
-        return np.array([[int(v) for v in r] for r in rows], dtype="u8")
     x = np.stack([np.asarray(r) for r in rows])
+    if dtype == "u8":
+        return x.view("u8")
     info = np.iinfo(dtype)
     if not fold and x.size and (x.min() < info.min or x.max() > info.max):
         raise LimitError(f"values beyond {dtype}")
@@ -53,15 +87,17 @@ def encoded(rows: Column, kind: str = "int32", layout: str = "compatible", order
     def encode(matrices: pd.Series) -> pd.Series:
         return pd.Series([None if m is None else _block(m, dtype, form, order, major, fold) for m in matrices], dtype=object)
 
-    return encode(rows)
+    small_batches()
+    return encode(_each(rows, _words) if kind == "uint64" else rows)
 
 
 def decoded(data: Column, length: Column, sensors: int, kind: str = "int32", layout: str = "compatible", order: list[int] | None = None, major: str = "row", or_null: bool = False) -> Column:
     """The matrix of a block with ``length`` samples.  Malformed blocks raise an error, or give null
     with ``or_null``."""
     (dtype, spark_type), form = TYPES[kind], codec.LAYOUTS[layout]
+    word_type = "bigint" if kind == "uint64" else spark_type
 
-    @F.pandas_udf(f"array<array<{spark_type}>>")
+    @F.pandas_udf(f"array<array<{word_type}>>")
     def decode(blocks: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
         for b, n in zip(blocks, lengths, strict=True):
@@ -75,15 +111,11 @@ def decoded(data: Column, length: Column, sensors: int, kind: str = "int32", lay
                     raise
                 out.append(None)
                 continue
-            if kind == "uint64":
-                import decimal
-
-                out.append([[decimal.Decimal(int(v)) for v in r] for r in x])
-            else:
-                out.append([r.astype({"u2": "i4", "u4": "i8"}.get(dtype, dtype)) for r in x])
+            out.append([r.astype({"u2": "i4", "u4": "i8", "u8": "i8"}.get(dtype, dtype)) for r in x])
         return pd.Series(out, dtype=object)
 
-    return decode(data, length)
+    small_batches()
+    return _each(decode(data, length), _numbers) if kind == "uint64" else decode(data, length)
 
 
 def encode_epochs(signal: DataFrame, length: int, keys: tuple[str, ...] = (), layout: str = "compatible", kind: str = "int32", fold: bool = False) -> DataFrame:
